@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokenfile
+from . import packing, tokenfile, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,5 +24,25 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op6_token_shards": op6_token_shards}
-ORACLE_SQL: dict[str, str] = {}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archive(table(spark, sf_dir, "pages"))
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).try_cast("long")
+    responses = warc.read_archive(spark, folder).where("record_type = 'response'")
+    revisits = warc.read_archive(spark, folder, payload="false").where("record_type = 'revisit'")
+    full = responses.select(page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    other = revisits.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+    return full.unionByName(other)
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op6_token_shards": op6_token_shards, "op10_warc": op10_warc}
+ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
