@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokenfile, warc
+from . import decontamination, packing, tokenfile, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,30 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP9_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 12), ' ') AS g, least(len(w), 13) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+wd AS MATERIALIZED (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS MATERIALIZED (SELECT doc_id, i, wd.n, item_id FROM wd JOIN win ON wd.g = win.g AND wd.n = win.n),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archive(table(spark, sf_dir, "pages"))
     page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).try_cast("long")
@@ -44,5 +68,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op6_token_shards": op6_token_shards, "op10_warc": op10_warc}
-ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op6_token_shards": op6_token_shards, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+ORACLE_SQL: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL}
