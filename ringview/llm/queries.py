@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_rules, tokenfile, warc
+from . import decontamination, packing, quality_classifier, quality_rules, tokenfile, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -73,5 +77,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op6_token_shards": op6_token_shards, "op8_quality_rules": op8_quality_rules, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op6_token_shards": op6_token_shards, "op7_quality_classifier": op7_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 ORACLE_SQL: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL}
