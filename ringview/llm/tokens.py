@@ -2,7 +2,8 @@
 
 A byte-level BPE never merges across a single space that stands between two characters that are not
 white space, so the chunks between such spaces are encoded once and kept. The library itself splits and
-merges within each chunk; ids are those of the whole text.
+merges within each chunk; ids are those of the whole text. Chunks of plain words are cut into the pieces that
+the byte-level pattern makes of them and go to the library's model directly.
 """
 
 from __future__ import annotations
@@ -17,6 +18,13 @@ from tokenizers import Tokenizer
 #: Chunks kept by a worker, in two generations; beyond it the older one goes, which only costs time.
 MAX_KEPT = 1_200_000
 
+#: Words of letters that every Unicode version knows; marks and a line break after them are pieces of their own.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+_MARKS = re.compile(rf"(?<={_LETTERS})([,.!?;:]+)(?= \S)")
+_BREAKS = re.compile(rf"(?<={_LETTERS})([,.!?;:]*)\n(?={_LETTERS})")
+_WORD = re.compile(rf"{_LETTERS}+")
+#: Stand for "no space before this chunk" and for its line break; texts that hold them are encoded whole.
+_JOINED, _BREAK = "\x01", "\x02"
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -34,13 +42,22 @@ def _as_bytes(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+def _plain(chunk: str) -> str:
+    """The characters that a chunk stands for."""
+    return chunk[1:].replace(_BREAK, "\n") if chunk[0] == _JOINED else f" {chunk}"
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str) -> None:
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self._kept: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        # The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 in order.
+        others = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+        self._letters = {b: chr(256 + k) for k, b in enumerate(others)}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -49,12 +66,18 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
+    def _word(self, word: str) -> bytes:
+        """The ids of letters, a space before them or not, which the model's own pattern never splits."""
+        return _as_bytes([t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._letters))])
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [_as_bytes(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        parts = [t.split(" ") for t in texts]
+        whole = [_JOINED in t or _BREAK in t for t in texts]
+        texts = [t if w else _MARKS.sub(" \x01\\1", _BREAKS.sub(" \x01\\1\x02 \x01", t)) for t, w in zip(texts, whole, strict=True)]
+        parts = [[t] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         found = [list(map(self._kept.get, p)) for p in parts]
         missing: set[str] = set()
         for k, (p, ids) in enumerate(zip(parts, found, strict=True)):
@@ -81,6 +104,10 @@ class Encoder:
         for c in chunks:
             if (ids := self._older.get(c)) is not None:
                 self._kept[c] = ids
+            elif _WORD.fullmatch(c):
+                self._kept[c] = self._word(f" {c}")
+            elif c[0] == _JOINED and _WORD.fullmatch(c, 1):
+                self._kept[c] = self._word(c[1:])
             else:
                 new.append(c)
-        self._kept.update(zip(new, self._encode([f" {c}" for c in new]), strict=True))
+        self._kept.update(zip(new, self._encode([_plain(c) for c in new]), strict=True))
