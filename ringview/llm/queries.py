@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, quality_classifier, quality_rules, tokenfile, warc
+from . import decontamination, jaccard, licenses, packing, quality_classifier, quality_rules, tokenfile, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = F.transform("places", lambda p: p["start"].cast("long"))
     return licenses.scan(table(spark, sf_dir, "documents")).select(
@@ -91,5 +95,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op3_licenses": op3_licenses, "op6_token_shards": op6_token_shards, "op7_quality_classifier": op7_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_jaccard_join": op2_jaccard_join, "op3_licenses": op3_licenses, "op6_token_shards": op6_token_shards, "op7_quality_classifier": op7_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 ORACLE_SQL: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL}
