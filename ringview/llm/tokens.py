@@ -79,26 +79,24 @@ class Encoder:
         texts = [t if w else _MARKS.sub(" \x01\\1", _BREAKS.sub(" \x01\\1\x02 \x01", t)) for t, w in zip(texts, whole, strict=True)]
         parts = [[t] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         found = [list(map(self._kept.get, p)) for p in parts]
-        missing: set[str] = set()
-        for k, (p, ids) in enumerate(zip(parts, found, strict=True)):
-            if None in ids[1:]:
-                new = {c for c, v in zip(p, ids, strict=True) if v is None}
-                if any(not c or c[0].isspace() or c[-1].isspace() for c in new):
-                    parts[k] = p = _SPLIT.split(texts[k])
-                    found[k] = ids = list(map(self._kept.get, p))
-                    new = {c for c, v in zip(p, ids, strict=True) if v is None}
-                missing |= new
-        self._learn([c for c in missing if c])
-        heads = self._encode([p[0] for p in parts])
+        gaps = [[k for k, v in enumerate(ids) if k and v is None] for ids in found]
+        for k, (p, gap) in enumerate(zip(parts, gaps, strict=True)):
+            if any(not p[i] or p[i][0].isspace() or p[i][-1].isspace() for i in gap):
+                parts[k] = p = _SPLIT.split(texts[k])
+                found[k] = ids = list(map(self._kept.get, p))
+                gaps[k] = [i for i, v in enumerate(ids) if i and v is None]
+        self._learn({p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap})
         out = []
-        for head, p, ids in zip(heads, parts, found, strict=True):
+        for head, p, ids, gap in zip(self._encode([p[0] for p in parts]), parts, found, gaps, strict=True):
             ids[0] = head
-            out.append(b"".join([self._kept[c] if v is None else v for c, v in zip(p, ids, strict=True)] if None in ids else ids))
+            for i in gap:
+                ids[i] = self._kept[p[i]]
+            out.append(b"".join(ids))
         if len(self._kept) > MAX_KEPT // 2:
             self._older, self._kept = self._kept, {}
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         """Keep the ids of these chunks as they are after a space."""
         new = []
         for c in chunks:
