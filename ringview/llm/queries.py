@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, lm, packing, quality_classifier, quality_rules, tokenfile, warc
+from . import decontamination, html_extraction, jaccard, licenses, lm, packing, quality_classifier, quality_rules, tokenfile, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -102,5 +106,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_jaccard_join": op2_jaccard_join, "op3_licenses": op3_licenses, "op5_language_model": op5_language_model, "op6_token_shards": op6_token_shards, "op7_quality_classifier": op7_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_jaccard_join": op2_jaccard_join, "op3_licenses": op3_licenses, "op4_html_extraction": op4_html_extraction, "op5_language_model": op5_language_model, "op6_token_shards": op6_token_shards, "op7_quality_classifier": op7_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 ORACLE_SQL: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL}
