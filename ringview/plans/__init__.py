@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("tpch",)
+_MODULES: tuple[str, ...] = ("tpch", "features")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
