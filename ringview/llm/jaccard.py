@@ -4,11 +4,12 @@ Documents with equal shingle sets collapse into one class. Classes meet in tiles
 several classes hold among the first ``n - ceil(t * n) + 1`` of their ordered shingles, which two sets of
 similarity ``t`` must share (prefix filter). Shingles that many documents hold are ordered last, so a common passage
 opens no tile unless a text consists of such. In a tile, sizes must lie in one band
-(``t * larger <= smaller``); then hashed bitmap signatures bound the overlap from above by bit counts; what is
+(``t * larger <= smaller``) and both classes must be in tiles enough for the overlap that a link needs; then hashed bitmap signatures bound the overlap from above by bit counts; what is
 left is decided by intersecting the sorted shingle arrays.
 
 Links are found in two rounds, so that a group of copies costs its size and not its square: first every tile
-member against the tile's first class; then only members that are still in different components.
+member against the tile's pivot; then only members that are still in different components and that the
+triangle inequality over their distances to the pivot leaves a link (the Jaccard distance is a metric).
 A pair in one component needs no test, and nothing else is left out: components are exact.
 
 Defined results: null or blank texts have an empty set, are their own component and link with nothing; rows
@@ -123,7 +124,7 @@ def _sets(docs: DataFrame, width: int, window: int = 4_000_000, least: int = 4)
 
 
 def _entries(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``(shingle, id, n)`` of each set's prefix, common shingles last."""
+    """``(shingle, id, pos)`` of each set's prefix, common shingles last."""
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +139,9 @@ def _entries(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> D
                     x = np.concatenate([x[~is_common], x[is_common]])[:need] if is_common.any() else x[:need]
                 parts.append(x[:need])
                 sizes.append(need)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(ids, sizes))], ["shingle", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), pa.int32())], ["shingle", "id", "pos"])
 
-    return docs.mapInArrow(of, "shingle long, id long")
+    return docs.mapInArrow(of, "shingle long, id long, pos int")
 
 
 def _only(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
@@ -149,20 +150,36 @@ def _only(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
-def _close(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _able(low_a: Column, low_b: Column, high_a: Column, high_b: Column, tiles_a: Column, tiles_b: Column, percent: int) -> Column:
+    """Whether two sets can link by their sizes and tiles.
+
+    Of the shingles that two sets share, those up to the end of the prefix that ends first open tiles that both
+    are in, and no more than the rest of that set come after it.
+    """
+    sized = (100 * high_a >= percent * low_b) & (100 * high_b >= percent * low_a)
+    needed = F.ceil(percent * (low_a + low_b) / (100 + percent))
+    behind = F.ceil(percent * F.greatest(high_a, high_b) / 100) - 1
+    return sized & (F.least(tiles_a, tiles_b) + behind >= needed)
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link."""
+def _measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_ids: int) -> DataFrame:
+    """Each pair ``(a, b)`` of one size band with bounds on its Jaccard distance: ``low``, ``high``, and ``linked``.
+
+    Where the signatures leave a link open both bounds are the exact distance, else ``high`` is 1.
+    """
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
             rows = zip(*(b.column(k).to_pylist() for k in ("sa", "sb", "na", "nb")), strict=True)
-            yield b.select(["a", "b"]).filter(pa.array([linked(most_shared(x, y, m, n), m, n, percent) for x, y, m, n in rows], pa.bool_()))
+            most = [(most_shared(x, y, m, n), m, n) for x, y, m, n in rows]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("a"), b.column("b"), pa.array([1 - k / (m + n - k) for k, m, n in most]), pa.array([linked(k, m, n, percent) for k, m, n in most])], ["a", "b", "low", "open"]
+            )
 
-    side = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
-    passed = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(_close(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bounded, "a long, b long"), "bounded-pairs").distinct()
+    side = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("tiles").alias(f"t{c}"), F.col("signature").alias(f"s{c}"))
+    banded = pairs.join(side("a"), "a").join(side("b"), "b").where(_able(*map(F.col, ("na", "nb", "na", "nb", "ta", "tb")), percent)).select("a", "b", "na", "nb", "sa", "sb")
+    tested = cut(banded.mapInArrow(bounded, "a long, b long, low double, open boolean").groupBy("a", "b").agg(F.min("low").alias("low"), F.max("open").alias("open")), "bounded-pairs")
+    passed = tested.where("open")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -170,16 +187,21 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, p
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keep = []
+            far, keep = [], []
             for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                k = len(np.intersect1d(p, q, assume_unique=True))
+                far.append(1 - k / max(len(p) + len(q) - k, 1))
+                keep.append(linked(k, len(p), len(q), percent))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(far, pa.float64()), pa.array(keep, pa.bool_())], ["a", "b", "d", "linked"])
 
     ids = passed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(_only(docs, ids, broadcast_ids).mapInArrow(arrays, "id long, x binary"), "shingle-arrays")
     left, right = sets.select(F.col("id").alias("a"), F.col("x").alias("xa")), sets.select(F.col("id").alias("b"), F.col("x").alias("xb"))
-    return cut(passed.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(exact, "a long, b long"), "links").distinct()
+    known = passed.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(exact, "a long, b long, d double, linked boolean")
+    # An id with several texts has several distances: the least and the greatest bound them all.
+    known = cut(known.groupBy("a", "b").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.max("linked").alias("linked")), "measured-pairs")
+    return known.unionByName(tested.where("NOT open").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,26 +248,38 @@ def join(
     ids = classes.select("id").distinct()
     docs = docs.where("id IS NOT NULL")
     of_tile = Window.partitionBy("shingle")
-    tiles = cut(
-        _entries(_only(docs, ids, broadcast_ids), common, width, percent)
-        .withColumns({"members": F.count("*").over(of_tile), "first": F.min("id").over(of_tile)})
-        .where("members > 1")
-        .select("shingle", "id", "first"),
-        "tiles",
-    )
-    sizes = classes.select("id", "n", "signature")
-    stars = cut(tiles.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = _verified(stars, sizes, docs, width, percent, broadcast_ids)
+    shared = cut(_entries(_only(docs, ids, broadcast_ids), common, width, percent).withColumn("members", F.count("*").over(of_tile)).where("members > 1").select("shingle", "id", "pos"), "shared")
+    # The pivot of a tile is its class with the most tiles: the copy that others differ from least.
+    degree = shared.groupBy("id").agg(F.count("*").alias("tiles"))
+    pivot = F.min(F.struct(-F.col("tiles"), F.col("id"))).over(of_tile)["id"]
+    onward = F.count("*").over(Window.partitionBy("id").orderBy(F.desc("pos")))
+    tiles = cut(shared.withColumn("onward", onward).join(degree, "id").select("shingle", "id", "onward", pivot.alias("pivot")), "tiles")
+    sizes = cut(classes.select("id", "n", "signature").join(degree, "id"), "sizes")
+    stars = cut(tiles.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    measured = cut(_measured(stars, sizes, docs, width, percent, broadcast_ids), "star-distances")
+    links = measured.where("linked").select("a", "b")
 
     found = components(links)
-    placed = tiles.join(found, "id", "left").select("shingle", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.withColumns({"low": F.min("component").over(of_tile), "high": F.max("component").over(of_tile)}).where("low <> high").select("shingle", "id", "component")
-    mixed = mixed.join(classes.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high")), "id")
+    placed = tiles.join(found, "id", "left").select("shingle", "id", "onward", "pivot", F.coalesce("component", "id").alias("component"))
+    mixed = placed.withColumns({"first": F.min("component").over(of_tile), "last": F.max("component").over(of_tile)}).where("first <> last").drop("first", "last")
+    mixed = mixed.join(sizes.groupBy("id").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high")), "id")
+    to_pivot = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "low", "high")
+    mixed = cut(
+        mixed.join(to_pivot, ["pivot", "id"], "left").select(
+            "shingle", "id", "component", "n_low", "n_high", "onward", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")
+        ),
+        "mixed-tiles",
+    )
+    # Distances obey the triangle inequality: two classes as far apart as their distances to the pivot differ cannot link.
     a, b = mixed.alias("a"), mixed.alias("b")
-    sized = (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
-    across = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.id") < F.col("b.id")) & sized)
-    rest = across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.union(_verified(rest, sizes, docs, width, percent, broadcast_ids))
+    most = 1 - percent / 100 + 1e-9
+    near = (F.col("a.low") - F.col("b.high") <= most) & (F.col("b.low") - F.col("a.high") <= most)
+    # In the first tile that a pair shares, no shared tile lies before: what is onward bounds the overlap (positional filter).
+    able = _able(*(F.col(f"{x}.{c}") for c in ("n_low", "n_high", "onward") for x in "ab"), percent)
+    across = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.id") < F.col("b.id")) & able & near)
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    links = links.union(_measured(rest, sizes, docs, width, percent, broadcast_ids).where("linked").select("a", "b"))
     return rows, classes, links
 
 
