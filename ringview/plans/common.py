@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +26,9 @@ def total(x: Column, name: str, digits: int = 4) -> Column:
 
 def revenue() -> Column:
     return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; a temporary folder stands in where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="ringview-")).as_uri()
+    return f"{base.rstrip('/')}/ringview/{name}-{uuid.uuid4().hex}"

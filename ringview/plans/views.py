@@ -13,7 +13,7 @@ from ..operators import deltas as D
 from ..operators.gmr import Gmr, constant, on_demand, product
 from ..sources import adaptors as A
 from ..streaming import views as W
-from .common import load
+from .common import load, shared_path
 from .features import _WITH, relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,24 @@ def view_lift_after_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.after({"orders": old}, {"orders": new}).sum(["M"]).pruned().frame()
 
 
+@_query("SELECT o_orderpriority AS \"P\", round(sum(l_quantity), 2) AS value, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_returnflag <> 'R' GROUP BY 1")
+def view_log_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A maintained view over change batches: all lines, then the finished orders, then the returned lines as deletes, then the other orders; read as of the third."""
+    orders, lines = load(spark, sf_dir, "orders", "lineitem")
+    schemas = {"orders": ["ok", "pr"], "lines": ["ok", "q"]}
+    row = lambda df, rel, op, ok, pr, q: df.select(F.lit(rel).alias("rel"), F.lit(op).alias("op"), c(ok).alias("ok"), pr.alias("pr"), q.alias("q"))
+    line = lambda df, op: row(df, "lines", op, "l_orderkey", F.lit(None).cast("string"), c("l_quantity"))
+    order = lambda df: row(df, "orders", 1, "o_orderkey", c("o_orderpriority"), F.lit(None).cast("double"))
+    batches = [line(lines, 1), order(orders.where("o_orderstatus = 'F'")), line(lines.where("l_returnflag = 'R'"), -1), order(orders.where("o_orderstatus <> 'F'"))]
+    path = shared_path(spark, "view-log")
+    empty = {k: Gmr(batches[0].limit(0).select(*cols, F.lit(1).cast("long").alias("__v")), tuple(cols)) for k, cols in schemas.items()}
+    base = W.start(f"{path}/base", spark, schemas, empty)
+    view = W.View(W.ViewLog(spark, f"{path}/view", ("P",)), _sold(), lambda: c("Q"))
+    for vid, batch in enumerate(batches, 1):
+        W.maintain(base, {"sold": view}, schemas, batch, vid)
+    return view.log.as_of(3).select("P", F.round("__v", 2).alias("value"), c("__n").alias("n"))
+
+
 @_query("SELECT user_id, event_type, round(max_by(value, event_id), 4) AS value, max(event_id) AS vid FROM events WHERE event_id < 5000 GROUP BY 1, 2")
 def version_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = load(spark, sf_dir, "events")
