@@ -47,6 +47,10 @@ _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|menus?|nav\w*|breadcrumbs?|footer|header|masthead|comments?|disqus|repl(?:y|ies)|share|sharing|social|related|recommend\w*|promo\w*|sponsor\w*|newsletter|subscribe|signup|login|pop-?up|modal|overlay|widgets?|pag(?:er|ination)|copyright|toolbar|search|contentinfo|complementary|navigation)(?:$|[\s_-])",
     re.I,
 )
+#: What a layout has, not what it is.
+_LAYOUT = re.compile(r"\b(?:has|have|with|without|no|is)[_-]\S+", re.I)
+#: An article of this one name is not the page's own.
+_BAD_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|reply|related|widget|promo|sponsored|ads?|advert)(?:\s|$)", re.I)
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?:$|[\s_-])", re.I)
 #: Smoothness between consecutive blocks (same parent, other parent) and between siblings.
 ADJACENT, APART, SIBLING = 0.5, 0.15, 0.4
@@ -122,9 +126,9 @@ def blocks(page: str) -> list[tuple[str, int, _Open, str, _Open]]:
         top, attributes = stack[-1], m[4]
         good, bad = tag in ("article", "main"), tag in _BAD_TAGS
         if attributes and tag not in ("html", "body") and block:
-            names = " ".join(x for found in _NAMES.findall(attributes) for x in found if x)
+            names = _LAYOUT.sub(" ", " ".join(x for found in _NAMES.findall(attributes) for x in found if x))
             if names:
-                bad = bad or (tag not in ("article", "main") and _BAD_NAME.search(names) is not None)
+                bad = bad or (tag != "main" and (_BAD_ARTICLE if tag == "article" else _BAD_NAME).search(names) is not None)
                 good = good or _GOOD_NAME.search(names) is not None
             bad = bad or _HIDDEN.search(attributes) is not None
         stack.append(_Open(tag, numbers, top.good or good, top.bad or bad, top.link or tag == "a"))

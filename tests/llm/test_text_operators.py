@@ -260,6 +260,8 @@ def test_main_text() -> None:
     <form>Sign up <input></form><footer>&copy; 2020 Someone</footer><!-- <p>no</p>"""
     assert html_extraction.extract(page) == "Title & more\nFirst bold text here.\nShort.\none\ntwo"
     assert html_extraction.extract(None) == html_extraction.extract("<p") == html_extraction.extract("") == ""
+    layout = '<div class="page with-sidebar"><article class="post"><p>The text of the article, long enough to be it.</p></article><article class="comment"><p>What a reader wrote about all of it, at length.</p></article></div>'
+    assert html_extraction.extract(layout) == "The text of the article, long enough to be it."
     plain = "<div><p>A page without an article, but with a long paragraph of text in it.</p><p>Ok.</p><p>And another paragraph, long enough to be text as well.</p></div><div><a href=a>Home</a> <a href=b>About</a></div>"
     assert html_extraction.extract(plain).count("\n") == 2
 
