@@ -7,19 +7,18 @@ from collections.abc import Callable
 import numpy as np
 
 _ONE, _64 = np.uint64(1), np.uint64(64)
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: The position of the bit of each rank in each byte.
+_IN_BYTE = np.array([([k for k in range(8) if byte >> k & 1] + [0] * 8)[:8] for byte in range(256)], np.int64).ravel()
 
 
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The position of the bit with this rank among the ones of each 64-bit word."""
-    at, left = np.zeros(len(words), np.uint64), rank.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        w = np.uint64(width)
-        part = (words >> at) & ((_ONE << w) - _ONE)
-        ones = np.bitwise_count(part).astype(np.int64)
-        beyond = left >= ones
-        left -= np.where(beyond, ones, 0)
-        at += np.where(beyond, w, np.uint64(0))
-    return at.astype(np.int64)
+    sums = np.bitwise_count(words.view(np.uint8)).view(np.uint64) * _EACH  # each byte: the ones up to its end
+    place = np.bitwise_count((((rank.astype(np.uint64) * _EACH) | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)
+    before = ((sums << np.uint64(8)) >> place) & np.uint64(255)
+    byte = (words >> place) & np.uint64(255)
+    return place.astype(np.int64) + _IN_BYTE[((byte << np.uint64(3)) + rank.astype(np.uint64) - before).astype(np.int64)]
 
 
 def _put(out: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -> None:
@@ -38,6 +37,7 @@ class EliasFano:
     def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
         self.n, self.bits = int(head[0]), int(head[1])
         self.low, self.high, self.ones = low, high, ones
+        self.zeros = np.arange(len(high)) * 64 - ones[:-1]
         self.head = head
 
     @classmethod
@@ -81,12 +81,8 @@ class EliasFano:
 
     def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
         """How many values have an upper part of at most ``k``: ones before the zero with this rank."""
-        low, high = np.zeros(len(k), np.int64), np.full(len(k), len(self.high) - 1, np.int64)
-        while (open_ := low < high).any():
-            mid = (low + high + 1) // 2
-            before = mid * 64 - self.ones[mid] <= k
-            low, high = np.where(open_ & before, mid, low), np.where(open_ & ~before, mid - 1, high)
-        rank = k - (low * 64 - self.ones[low])
+        low = np.searchsorted(self.zeros, k, "right") - 1
+        rank = k - self.zeros[low]
         at = low * 64 + _select_in_word(~self.high[low], rank)
         return at - k
 

@@ -32,7 +32,7 @@ from .common import cut, slices
 #: Signature bits for sets of up to half as many shingles; larger sets double them.
 LEAST_BITS = 2048
 #: Words whose hashes a worker keeps.
-_MAX_WORDS = 1_000_000
+_MAX_WORDS = 400_000
 
 
 class _Words(dict):

@@ -39,7 +39,7 @@ from .elias_fano import EliasFano
 from .jaccard import _WORDS
 
 END = xxhash.xxh3_64_intdigest(b" ")
-_WINDOW = 2_000_000
+_WINDOW = 1_000_000
 _BINS = 255
 
 
@@ -157,7 +157,8 @@ class Model:
                 own, weights = own[weights > 0], weights[weights > 0]
                 p[own] *= 10.0 ** level.weight_values[weights]
                 own = own[ids[own] >= 0]
-                at = level.find(entry[own], ids[own])
+                asked, inverse = np.unique((entry[own] << 32) | ids[own], return_inverse=True)
+                at = level.find(asked >> 32, asked & 0xFFFFFFFF)[inverse]
                 own, at = own[at >= 0], at[at >= 0]
                 found[own] = at
                 p[own] += 10.0 ** level.values[level.codes[at]]
@@ -197,7 +198,7 @@ def _merge(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return joined[begins], np.add.reduceat(counts[order], begins)
 
 
-def train(docs: DataFrame, order: int = 3, min_count: int = 2, discount: float = 0.75, shard_words: int = 1 << 18, group_tokens: int = 16_000_000) -> Model:
+def train(docs: DataFrame, order: int = 3, min_count: int = 2, discount: float = 0.75, shard_words: int = 1 << 18, group_tokens: int = 4_000_000) -> Model:
     """Train on the column ``text`` of all rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
@@ -301,14 +302,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every row; scores are log10 probabilities of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def rated(ids: list[pa.Array], parts: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = np.array([len(x) for x in parts], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        _, count, p, _ = model.walk(np.concatenate(parts), starts, len(model.folders))
+        base = np.log10((count + 1) / (model.tokens + model.words + 1))
+        sums = [pa.array(np.add.reduceat(x, starts)) for x in ((count > 0).astype(np.int64), base, np.log10(p))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(lengths), *sums], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, n = [], [], 0
         for b in slices(batches):
-            parts = [token_hashes(t) for t in b.column(1).to_pylist()]
-            lengths = np.array([len(x) for x in parts], np.int64)
-            starts = np.cumsum(lengths) - lengths
-            _, count, p, _ = model.walk(np.concatenate(parts), starts, len(model.folders))
-            base = np.log10((count + 1) / (model.tokens + model.words + 1))
-            sums = [pa.array(np.add.reduceat(x, starts)) for x in ((count > 0).astype(np.int64), base, np.log10(p))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths), *sums], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            ids.append(b.column(0))
+            parts += [token_hashes(t) for t in b.column(1).to_pylist()]
+            n += sum(map(len, parts[-b.num_rows :]))
+            if n >= _WINDOW:
+                yield rated(ids, parts)
+                ids, parts, n = [], [], 0
+        if ids:
+            yield rated(ids, parts)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(of, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
