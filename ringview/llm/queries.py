@@ -44,7 +44,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    model = lm.train(docs.where(~held_out))
+    model = lm.train(docs.where(~held_out), min_count=1)
     return lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

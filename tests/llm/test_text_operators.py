@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringview.llm import decontamination, html_extraction, licenses, lm, quality_classifier, quality_rules
+from ringview.llm import decontamination, html_extraction, licenses, lm, quality_classifier, quality_rules, queries
 from ringview.llm.elias_fano import EliasFano
 
 DOCS = "doc_id long, text string, lang string, source string, n_words int, score double"
@@ -244,6 +244,32 @@ def test_scores_equal_a_dictionary_model(spark, shard_words) -> None:
         assert got[i]["score"] == pytest.approx(score, abs=0.05 * len(t))
 
 
+def test_the_registered_query_keeps_ngrams_that_occur_once(spark, tmp_path) -> None:
+    rnd = random.Random(9)
+    texts = [*ODD, *(" ".join(rnd.choice("a b c D e f g h i j k l m n o p".split()) for _ in range(rnd.randrange(20))) for _ in range(40))]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_language_model(spark, str(tmp_path)).collect()
+    cut = [[*(t or "").encode().lower().split(), b" "] for t in texts]
+    train = [cut[r["doc_id"]] for r in got if not r["held_out"]]
+    assert 0 < len(train) < len(texts) == len(got)
+    u, b, t3 = (Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3))
+    n, v = sum(u.values()), len(u)
+    assert 1 in b.values() and 1 in t3.values()
+    left2, left3 = Counter(), Counter()
+    for grams, shorter, left in ((b, u, left2), (t3, b, left3)):
+        for k, c in grams.items():
+            left[k[:-1]] += (c - 0.75) / shorter[k[:-1]]
+    for r in got:
+        score, t = 0.0, cut[r["doc_id"]]
+        for i in range(len(t)):
+            p = (u[(t[i],)] + 1) / (n + v + 1)
+            for k, grams, shorter, left in ((1, b, u, left2), (2, t3, b, left3)):
+                if i >= k and (y := tuple(t[i - k : i])) in left:
+                    p = (1 - left[y]) * p + max(grams[(*y, t[i])] - 0.75, 0) / shorter[y]
+            score += math.log10(p)
+        assert r["score"] == pytest.approx(score, abs=0.02 * len(t))
+
+
 def test_an_empty_training_set(spark) -> None:
     model = lm.train(spark.createDataFrame([], DOCS))
     assert [r["base_score"] for r in lm.score(frame(spark, ["a b", None]), model).collect()] == [0.0, 0.0]
