@@ -1,12 +1,14 @@
 """License scans with DataFrame functions only.
 
 Two findings are joined. Phrases: every place where a phrase's words stand consecutively. Templates: an exact
-set-similarity join of text blocks (lines) with license templates that finds every block holding at least
-``threshold`` of a template's distinct words. Template words are ordered by their frequency over the whole
+set-similarity join of text blocks with license templates that finds every block holding at least ``threshold`` of a
+template's distinct words. Blocks are the lines; for notices wrapped over lines there are also runs, which cross line
+breaks: each word counts that stands within ``slack`` places of its own in the template, laid at any word of the
+text, and ``slack`` is how many words may be missing. Template words are ordered by their frequency over the whole
 corpus, rarest first. A block and a template can only meet the threshold if they share a word in the first
 ``size - needed + 1`` of each (prefix filter), if the block has enough template words at all (length filter),
 and if enough words are left behind the first shared one on both sides (positional filter); what passes is
-intersected in full.
+intersected in full. A template is laid only where one of its prefix words stands near its place and enough of its words are around.
 
 The score is 1 where a phrase stands, else the best containment of a template that was met, else 0.
 
@@ -78,18 +80,15 @@ def template_index(docs: DataFrame, templates: dict[str, str], threshold: float)
 
 
 def template_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """Every block that meets a template: ``doc_id, text_hash, block, label, containment``."""
+    """Every block that meets a template: ``doc_id, text_hash, block, label, containment``; the block is its line's number, null for runs across lines."""
     spark = docs.sparkSession
     rank, index = template_index(docs, templates, threshold)
     vocabulary, least = sorted(rank), min(needed for _, _, needed, _ in index)
     prefixes = {r for _, ranks, needed, _ in index for r in ranks[: len(ranks) - needed + 1]}
     rare = sorted(w for w, r in rank.items() if r in prefixes)
     ranks = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
-    lines = (
-        _keyed(docs)
-        .where(F.arrays_overlap(words_of(F.col("text")), _lit_array(rare)))
-        .select("doc_id", "text_hash", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("block", "line"))
-    )
+    able = _keyed(docs).where(F.arrays_overlap(words_of(F.col("text")), _lit_array(rare)))
+    lines = able.select("doc_id", "text_hash", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("block", "line"))
     own = F.filter(F.array_distinct(F.split("line", SEPARATORS)), lambda w: w.isin(vocabulary))
     blocks = lines.select("doc_id", "text_hash", "block", F.array_sort(F.transform(own, lambda w: ranks[w])).alias("r")).where(F.size("r") >= least)
     rows = [(k, label, t, needed, pos, token) for k, t, needed, label in index for pos, token in enumerate(t[: len(t) - needed + 1])]
@@ -97,15 +96,40 @@ def template_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thre
     met = blocks.select("*", F.posexplode("r").alias("r_pos", "token")).join(prefix, "token")
     enough = (F.size("r") >= F.col("needed")) & (F.col("r_pos") <= F.size("r") - F.col("needed")) & (F.least(F.size("t") - F.col("t_pos"), F.size("r") - F.col("r_pos")) >= F.col("needed"))
     shared = F.size(F.array_intersect("r", "t"))
+    whole = met.where(enough).withColumn("shared", shared).select("doc_id", "text_hash", "block", "label", "t", "needed", "shared")
+    runs = _runs(able.where(F.contains("text", F.lit("\n"))), templates, rank, index).withColumn("block", F.lit(None).cast("int"))
     return (
-        met.where(enough)
-        .withColumn("shared", shared)
+        whole.unionByName(runs)
         .where(F.col("shared") >= F.col("needed"))
         .select("doc_id", "text_hash", "block", "label", (F.col("shared") / F.size("t")).alias("containment"))
         .distinct()
     )
 
 
+def _runs(docs: DataFrame, templates: dict[str, str], rank: dict[str, int], index: list[tuple[int, list[int], int, str]]) -> DataFrame:
+    """``shared`` words of the best run around each place of a template's prefix word."""
+    rows = []
+    for text, (_, t, needed, label) in zip(templates, index, strict=True):
+        own = [(rank[w], place) for place, w in enumerate(text.split())]
+        rows += [(label, t, needed, own, len(t) - needed, token, place) for token, place in own if token in t[: len(t) - needed + 1]]
+    prefix = F.broadcast(docs.sparkSession.createDataFrame(rows, "label string, t array<int>, needed int, own array<struct<r:int,place:int>>, slack int, token int, place int"))
+    tokens, reach = sorted({x[5] for x in rows}), max(len(x[3]) + 2 * x[4] for x in rows)
+    ranks = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
+    words = F.transform(words_of(F.col("text")), lambda w, i: F.struct(w.alias("w"), i.alias("at")))
+    marks = F.transform(F.filter(words, lambda x: x["w"].isin(sorted(rank))), lambda x: F.struct(x["at"].alias("at"), ranks[x["w"]].alias("r")))
+    numbered = F.transform("marks", lambda x, j: F.struct(x["r"].alias("token"), x["at"].alias("at"), j.alias("j")))
+    near = lambda x: F.slice("marks", F.greatest(x["j"] - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
+    anchors = F.transform(F.filter(numbered, lambda x: x["token"].isin(tokens)), lambda x: F.struct(x["token"].alias("token"), x["at"].alias("at"), near(x).alias("near")))
+    met = docs.select("doc_id", "text_hash", marks.alias("marks")).select("doc_id", "text_hash", F.inline(anchors)).join(prefix, "token")
+    around = F.filter("near", lambda x: F.abs(x["at"] - F.col("at")) <= reach)
+    stands = lambda e, first: F.exists("near", lambda x: (x["r"] == e["r"]) & (F.abs(x["at"] - first - e["place"]) <= F.col("slack")))
+    held = lambda first: F.size(F.array_distinct(F.transform(F.filter("own", lambda e: stands(e, first)), lambda e: e["r"])))
+    first = F.col("at") - F.col("place")
+    best = F.array_max(F.transform(F.sequence(first - F.col("slack"), first + F.col("slack")), held))
+    enough = F.size(F.array_intersect("t", F.transform(around, lambda x: x["r"]))) >= F.col("needed")
+    return met.where(enough).select("doc_id", "text_hash", "label", "t", "needed", best.alias("shared"))
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Per row ``doc_id, n_words, places, base_labels, labels, score``."""
     docs = docs.select("doc_id", "text")

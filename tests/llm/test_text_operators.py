@@ -58,6 +58,35 @@ def test_licenses_equal_a_scan_of_every_block(spark) -> None:
         assert score == pytest.approx(1.0 if places else best)
 
 
+def test_notices_wrapped_over_lines_are_found(spark) -> None:
+    wrapped = {
+        "bsd-text": "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following holds.",
+        "gpl-text": "This program is free software; you can redistribute it and/or\n * modify it under the terms of the Licence as published.",
+        "apache-text": "Unless required by applicable law or agreed to in writing,\nsoftware distributed under the License is distributed as is.",
+        "mit-notice": "Some text before.\nReleased\nunder the\nMIT\n\nlicense",
+    }
+    rnd = random.Random(6)
+    texts = [*wrapped.values(), "all\n" + "word " * 9 + "rights\n" + "word " * 9 + "reserved"]
+    for _ in range(150):
+        w = [x for _ in range(rnd.randrange(4)) for x in rnd.choice([*licenses.TEMPLATES, "one two of the", "a b c d e f"]).split()]
+        for _ in range(rnd.randrange(5) if w else 0):
+            w[rnd.randrange(len(w))] = rnd.choice(["foo", "the", "license foo"])
+        texts.append("".join(x + rnd.choice([" ", " ", " ", "\n"]) for x in w))
+    got = [set(r["labels"]) - set(r["base_labels"]) for r in licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()]
+    for label, found in zip(wrapped, got, strict=False):
+        assert label in found
+    for t, found in zip(texts, got, strict=True):
+        own = set()
+        for template, label in licenses.TEMPLATES.items():
+            parts, w = template.split(), words(t)
+            s = set(parts)
+            needed = math.ceil(0.8 * len(s) - 1e-9)
+            runs = [{x for k, x in enumerate(parts) if x in w[max(a + k - len(s) + needed, 0) : max(a + k + len(s) - needed + 1, 0)]} for a in range(-len(w), len(w) + 9)]
+            if any(len(s & x) >= needed for x in [*runs, *(set(words(line)) for line in t.split("\n"))]):
+                own.add(label)
+        assert found == own, t
+
+
 # Decontamination
 
 
