@@ -1,7 +1,7 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into blocks at block-level tags. A classifier of each block (its ancestors, its length, its share
-of link text) gives the costs of the labels "content" and "boilerplate"; they are the capacities to the two
+of link text, which says little inside an article) gives the costs of the labels "content" and "boilerplate"; they are the capacities to the two
 terminals. Neighbouring blocks, and blocks next to each other under one parent, are tied by smoothness edges.
 The minimum cut is the labelling of least total cost: blocks whose own costs outweigh all their edges are
 settled first (any minimum cut agrees with them), and a maximum flow over what is left decides the rest.
@@ -55,21 +55,21 @@ _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|t
 #: Smoothness between consecutive blocks (same parent, other parent) and between siblings.
 ADJACENT, APART, SIBLING = 0.5, 0.15, 0.4
 #: The classifier's log-odds of "content": intercept, then what each finding adds.
-WEIGHTS = {"base": -1.2, "good": 4.0, "bad": -8.0, "heading": 0.5, "paragraph": 1.2, "length": 0.6, "sentence": 0.8, "links": -3.5}
+WEIGHTS = {"base": -1.2, "good": 4.0, "bad": -8.0, "heading": 0.5, "paragraph": 1.2, "length": 0.6, "sentence": 0.8, "links": -3.5, "own links": -1.0}
 
 
 class _Open:
-    """An open element: its tag, whether it or an ancestor speaks for or against content, and a number."""
+    """An open element: its tag, whether it or an ancestor speaks for or against content, whether it is of an article with nothing against it, and a number."""
 
-    __slots__ = ("bad", "good", "link", "number", "tag")
+    __slots__ = ("article", "bad", "good", "link", "number", "tag")
 
-    def __init__(self, tag: str, number: int, good: bool, bad: bool, link: bool) -> None:
-        self.tag, self.number, self.good, self.bad, self.link = tag, number, good, bad, link
+    def __init__(self, tag: str, number: int, good: bool, bad: bool, link: bool, article: bool) -> None:
+        self.tag, self.number, self.good, self.bad, self.link, self.article = tag, number, good, bad, link, article
 
 
 def blocks(page: str) -> list[tuple[str, int, _Open, str, _Open]]:
     """``(text, characters in links, parent, tag, element)`` of each block with text, in page order."""
-    stack, out, parts, in_links, numbers = [_Open("", 0, False, False, False)], [], [], 0, 1
+    stack, out, parts, in_links, numbers = [_Open("", 0, False, False, False, False)], [], [], 0, 1
 
     def flush() -> None:
         nonlocal in_links
@@ -131,7 +131,7 @@ def blocks(page: str) -> list[tuple[str, int, _Open, str, _Open]]:
                 bad = bad or (tag != "main" and (_BAD_ARTICLE if tag == "article" else _BAD_NAME).search(names) is not None)
                 good = good or _GOOD_NAME.search(names) is not None
             bad = bad or _HIDDEN.search(attributes) is not None
-        stack.append(_Open(tag, numbers, top.good or good, top.bad or bad, top.link or tag == "a"))
+        stack.append(_Open(tag, numbers, top.good or good, top.bad or bad, top.link or tag == "a", not bad and (top.article or tag in ("article", "main"))))
         numbers += 1
     text(page[last:])
     flush()
@@ -140,7 +140,7 @@ def blocks(page: str) -> list[tuple[str, int, _Open, str, _Open]]:
 
 def log_odds(text: str, in_links: int, owner: _Open, tag: str) -> float:
     """How much the classifier favours "content" for a block."""
-    z = WEIGHTS["base"] + WEIGHTS["length"] * min(math.log1p(len(text)) - 3, 3.0) + WEIGHTS["links"] * min(in_links / len(text), 1.0)
+    z = WEIGHTS["base"] + WEIGHTS["length"] * min(math.log1p(len(text)) - 3, 3.0) + WEIGHTS["own links" if owner.article else "links"] * min(in_links / len(text), 1.0)
     z += WEIGHTS["good"] * owner.good + WEIGHTS["bad"] * owner.bad
     if tag in ("p", "pre", "blockquote"):
         z += WEIGHTS["paragraph"]

@@ -321,6 +321,15 @@ def test_main_text() -> None:
     assert html_extraction.extract(plain).count("\n") == 2
 
 
+def test_linked_lists_of_an_article_are_kept() -> None:
+    links = [f"A book on tea, no. {i}" for i in range(4)]
+    items = "".join(f"<li><a href=b{i}>{x}</a></li>" for i, x in enumerate(links))
+    text = "<h1>Tea</h1><p>A paragraph on tea that is long enough to be text.</p><h2>References</h2>"
+    for tag in ("article", "main"):
+        kept = html_extraction.extract(f"<body><nav><ul>{items}</ul></nav><{tag}>{text}<ul>{items}</ul><p>The end.</p><ul class=menu>{items}</ul></{tag}><ul>{items}</ul>")
+        assert kept.split("\n") == ["Tea", "A paragraph on tea that is long enough to be text.", "References", *links, "The end."]
+
+
 def test_the_cut_is_of_least_cost() -> None:
     rnd = random.Random(3)
     for _ in range(300):
