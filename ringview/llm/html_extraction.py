@@ -9,7 +9,7 @@ settled first (any minimum cut agrees with them), and a maximum flow over what i
 Text is whole: character references are decoded, white space in a block becomes one space, blocks are trimmed
 and joined in page order by a line break; nothing is capped. Defined results: null or blank html, and pages
 without content, give an empty text; markup cut off at the end of a page is dropped; tags left open or closed
-twice do not lose text; equal rows give equal results.
+twice do not lose text, but for script, style, title and textarea, which run to their end tag; equal rows give equal results.
 """
 
 from __future__ import annotations
@@ -28,14 +28,19 @@ from .common import slices
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|select|svg|iframe|object|math|button)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|textarea)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[a-zA-Z/][^<>]*+\Z",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|none", re.I)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+#: Elements whose text is no text of the page, where they are closed; the second ones leave a space.
+_SKIPPED, _SPACED = frozenset("noscript template select svg iframe object math button".split()), frozenset("textarea select iframe object button".split())
+_SKIPS = re.compile(r"<(?:noscript|template|select|svg|iframe|object|math|button)\b", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -67,6 +72,40 @@ class _Open:
         self.tag, self.number, self.good, self.bad, self.link, self.article = tag, number, good, bad, link, article
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute of the element hides it; names count outside quotes only."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "style" and _NOT_SHOWN.search(value)) or (name == "aria-hidden" and value.strip().lower().startswith("true")):
+            return True
+    return False
+
+
+def _empty(tag: str, attributes: str, foreign: bool) -> bool:
+    """Whether a start tag has no content: void elements, and self-closed ones of SVG and MathML."""
+    return tag in _VOID or (attributes.endswith("/") and (foreign or tag in ("svg", "math")))
+
+
+def _skips(tokens: list[re.Match]) -> dict[int, int]:
+    """The end tag of each skipped element that has one of its own; what is left open to the end of its parent has none."""
+    stack, ends = [], {}
+    for i, m in enumerate(tokens):
+        if (tag := m[3]) is None:
+            continue
+        tag = tag.lower()
+        if not m[2]:
+            if not _empty(tag, m[4], any(x in ("svg", "math") for x, _ in stack)):
+                stack.append((tag, i))
+        elif any(x == tag for x, _ in stack):
+            while (top := stack.pop())[0] != tag:
+                pass
+            if tag in _SKIPPED:
+                ends[top[1]] = i
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, int, _Open, str, _Open]]:
     """``(text, characters in links, parent, tag, element)`` of each block with text, in page order."""
     stack, out, parts, in_links, numbers = [_Open("", 0, False, False, False, False)], [], [], 0, 1
@@ -96,15 +135,21 @@ def blocks(page: str) -> list[tuple[str, int, _Open, str, _Open]]:
             if stack[-1].link:
                 in_links += len(raw)
 
-    last = 0
-    for m in _TOKEN.finditer(page):
+    last, until = 0, -1
+    tokens = list(_TOKEN.finditer(page))
+    ends = _skips(tokens) if _SKIPS.search(page) else {}
+    for i, m in enumerate(tokens):
+        if i <= until:
+            last = m.end()
+            continue
         text(page[last : m.start()])
         last = m.end()
-        if (tag := m[3]) is None:
-            if m[1] and m[1].lower() in ("textarea", "select", "iframe", "object", "button"):
+        tag = (m[3] or m[1] or "").lower()
+        if i in ends or m[3] is None:
+            if tag in _SPACED:
                 parts.append(" ")
+            until = ends.get(i, i)
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
@@ -116,7 +161,7 @@ def blocks(page: str) -> list[tuple[str, int, _Open, str, _Open]]:
                 while stack.pop().tag != tag:
                     pass
             continue
-        if tag in _VOID:
+        if _empty(tag, m[4], any(x.tag in ("svg", "math") for x in stack)):
             continue
         if tag in _CLOSES_P:
             close(("p",), ("article", "section", "div", "td", "th", "li", "aside", "nav", "header", "footer", "form", "blockquote"))
@@ -130,7 +175,7 @@ def blocks(page: str) -> list[tuple[str, int, _Open, str, _Open]]:
             if names:
                 bad = bad or (tag != "main" and (_BAD_ARTICLE if tag == "article" else _BAD_NAME).search(names) is not None)
                 good = good or _GOOD_NAME.search(names) is not None
-            bad = bad or _HIDDEN.search(attributes) is not None
+            bad = bad or _hidden(attributes)
         stack.append(_Open(tag, numbers, top.good or good, top.bad or bad, top.link or tag == "a", not bad and (top.article or tag in ("article", "main"))))
         numbers += 1
     text(page[last:])

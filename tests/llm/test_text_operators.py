@@ -330,6 +330,20 @@ def test_linked_lists_of_an_article_are_kept() -> None:
         assert kept.split("\n") == ["Tea", "A paragraph on tea that is long enough to be text.", "References", *links, "The end."]
 
 
+def test_markup_does_not_swallow_text() -> None:
+    whole = "One, a paragraph of text.\nTwo two.\nThree."
+    page = "<article><p>One, a paragraph of text.</p>{}<p>Two two.</p><p>Three.</p></article>"
+    for x in ('<svg viewBox="0 0 1 1"/>', "<math />", "<button>", "<select>", "<noscript>", "<object data='a>b'>", "<iframe src=x>", "<template>", "<svg>", "</button>"):
+        assert html_extraction.extract(page.format(x)) == whole, x
+        assert html_extraction.extract(page.format(f"<div>{x}</div><div><button>Buy</button></div>")) == whole, x
+    for x in ("<svg><g><path d=x/><text>Ax</text></g></svg>", "<svg><svg/><text>Ax</text></svg>", "<button>Buy <b>it</button>", "<noscript><p>On!</p></noscript>", "<select><option>a<option>b</select>", "<object><object>in</object>out</object>"):
+        assert html_extraction.extract(page.format(x)) == whole, x
+    for x in ('title="The hidden cost of tea"', "data-x='a hidden b'", 'title="aria-hidden=true, display:none"', "data-hidden=1"):
+        assert html_extraction.extract(page.format("").replace("<article", f"<article {x}")) == whole, x
+    for x in ("hidden", 'class="a" hidden=""', "HIDDEN=hidden", "style='color:red; display: none'", "aria-hidden=true", 'aria-hidden="true"'):
+        assert html_extraction.extract(page.format(f"<div {x}><p>Not seen by readers, though long enough.</p></div>")) == whole, x
+
+
 def test_the_cut_is_of_least_cost() -> None:
     rnd = random.Random(3)
     for _ in range(300):
