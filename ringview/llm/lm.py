@@ -3,17 +3,18 @@
 Level 1 is the vocabulary: word hashes in order, exact counts, quantised probabilities. Level k holds, for each
 entry of level k-1 (the context), its successors: a monotone pointer to their range, their word ids raised by
 the last value before the range so that the whole level is monotone, and quantised probabilities; a context's
-back-off weight is quantised beside it. The trie is cut into shards by the first word's hash; each shard's
-levels are arrays in the shared folder that tasks map into memory, so a worker touches only what it asks for.
-A query finds a word by successor search inside its context's range.
+back-off weight is quantised beside it. The vocabulary is cut into shards by hash. Each shard of a level is cut into
+shards of the next by ranges of contexts that together occur ``group_tokens`` times at most, so no shard holds more n-grams
+than that; a context that alone occurs too often is spread over several shards by word, and its back-off weight,
+known once all are written, stays with the cuts. Shards are arrays in the shared folder that tasks map into memory, so a
+worker touches only what it asks for. A query finds the shard by the cuts and a word by successor search inside its context's range.
 
 Probabilities are absolutely discounted and interpolated: ``max(c - D, 0) / c(context)`` plus what is left times the
 shorter context's; words by ``(c + 1) / (N + V + 1)``. N-grams of two words or more that occur less than
 ``min_count`` times hold no entry, and their mass stays in the back-off weight, so each context sums to one.
 
 Training goes level by level over all training texts: tasks count in windows, drop n-grams whose parts the
-level before lacks, and send sorted keys as compressed differences. They are merged by shard and by word
-first, so a frequent context is spread, then by shard.
+level before lacks, and send sorted keys as compressed differences to the shards, which merge and write them.
 
 Defined results: null and blank texts are the end token alone; rows that repeat count and score each time; an
 empty training set leaves every token unknown with probability one over ``N + V + 1``; other columns are not read.
@@ -87,7 +88,6 @@ class Level:
         get = Files(base).get
         self.pointers, self.words = EliasFano.load(get, "pointers"), EliasFano.load(get, "words")
         self.codes, self.values, self.weights, self.weight_values = get("codes"), get("values"), get("weights"), get("weight_values")
-        self.counts = get("counts")
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The entry of each word in its context; contexts have successors."""
@@ -96,14 +96,43 @@ class Level:
         return self.words.find(raised + word.astype(np.uint64), first, last)
 
 
+def cuts_of(counts: np.ndarray, group_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of entries begin that hold at most ``group_tokens`` tokens, and over how many shards each is spread by word."""
+    half = max(1, group_tokens // 2)
+    turn, hot = (np.cumsum(counts) - counts) // half, counts > half
+    begins = np.flatnonzero(np.concatenate([[True], (turn[1:] != turn[:-1]) | hot[1:] | hot[:-1]])) if len(counts) else np.zeros(0, np.int64)
+    return begins, np.where(hot[begins], -(-counts[begins] // half), 1)
+
+
+class Cuts:
+    """How the shards of one level are cut into those of the next: ranges of entries in order of shard and entry."""
+
+    def __init__(self, found: list[tuple[int, int, np.ndarray, np.ndarray]], words: int) -> None:
+        """Of each shard that has entries: its number, how many it has, and what ``cuts_of`` gave."""
+        found, none, self.words = sorted((x for x in found if x[1]), key=lambda x: x[0]), np.zeros(0, np.int64), words
+        self.parent = np.concatenate([none, *(np.full(len(b), s) for s, _, b, _ in found)])
+        self.begin = np.concatenate([none, *(b for _, _, b, _ in found)])
+        self.end = np.concatenate([none, *(np.append(b[1:], n) for _, n, b, _ in found)])
+        self.ways = np.concatenate([none, *(w for _, _, _, w in found)])
+        self.first, self.shards = np.cumsum(self.ways) - self.ways, int(self.ways.sum())
+        self.weights = np.zeros(len(self.ways))
+        self.keys = (self.parent << 40) | self.begin
+
+    def place(self, shard: np.ndarray, entry: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each context and word (-1 if unknown): the range, the shard of the next level and the context's place there."""
+        cut = np.searchsorted(self.keys, (shard << 40) | entry, "right") - 1
+        return cut, self.first[cut] + np.maximum(word, 0) * self.ways[cut] // max(self.words, 1), entry - self.begin[cut]
+
+
 @dataclass
 class Model:
-    """Where the levels are: for each level its shards' folders; loaded on first use in each process."""
+    """Where the levels are: for each level its shards' folders, and the cuts between levels; loaded on first use in each process."""
 
     tokens: int
     words: int
     firsts: list[int]
     folders: list[list[str | None]]
+    cuts: list[Cuts] = field(default_factory=list)
     _open: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -138,8 +167,8 @@ class Model:
             index[own], count[own], p[own] = at, counts[at], 10.0 ** values[codes[at]]
         return where[inverse], index[inverse], count[inverse], p[inverse]
 
-    def walk(self, hashes: np.ndarray, starts: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Per token its id, count and probability, and per level the (shard, entry) of the n-gram that ends there, -1 where none."""
+    def walk(self, hashes: np.ndarray, starts: np.ndarray, upto: int, rate: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Per token its id, count and probability, and per level the (shard, entry) of the n-gram that ends there, -1 where none; probabilities are the words' own unless rated."""
         shard, index, count, p = self.look_up(hashes)
         ids = np.where(index >= 0, np.array([*self.firsts, 0])[np.where(index >= 0, shard, -1)] + index, -1)
         nodes = [(shard, index)]
@@ -147,22 +176,31 @@ class Model:
         begins[starts] = True
         for k in range(2, upto + 1):
             shard, entry = (np.concatenate([[-1], x[:-1]]) for x in nodes[-1])
-            entry = np.where(begins, -1, entry)
-            found = np.full(len(hashes), -1, np.int64)
-            for s in np.unique(shard[entry >= 0]).tolist():
-                if (level := self.level(k, s)) is None:
+            own = np.flatnonzero((entry >= 0) & ~begins)
+            at_shard, found = np.full(len(hashes), -1, np.int64), np.full(len(hashes), -1, np.int64)
+            cuts = self.cuts[k - 2]
+            cut, part, context = cuts.place(shard[own], entry[own], ids[own])
+            if rate:
+                p[own] *= 10.0 ** cuts.weights[cut]
+            turn = np.argsort(part, kind="stable")
+            own, part, context = own[turn], part[turn], context[turn]
+            edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(own)], strict=True):
+                if (level := self.level(k, int(part[a]))) is None:
                     continue
-                own = np.flatnonzero((entry >= 0) & (shard == s))
-                weights = level.weights[entry[own]]
-                own, weights = own[weights > 0], weights[weights > 0]
-                p[own] *= 10.0 ** level.weight_values[weights]
-                own = own[ids[own] >= 0]
-                asked, inverse = np.unique((entry[own] << 32) | ids[own], return_inverse=True)
+                mine, held = own[a:b], context[a:b]
+                weights = level.weights[held]
+                mine, held, weights = mine[weights > 0], held[weights > 0], weights[weights > 0]
+                if rate:
+                    p[mine] *= (10.0**level.weight_values)[weights]
+                mine, held = mine[ids[mine] >= 0], held[ids[mine] >= 0]
+                asked, inverse = np.unique((held << 32) | ids[mine], return_inverse=True)
                 at = level.find(asked >> 32, asked & 0xFFFFFFFF)[inverse]
-                own, at = own[at >= 0], at[at >= 0]
-                found[own] = at
-                p[own] += 10.0 ** level.values[level.codes[at]]
-            nodes.append((shard, found))
+                mine, at = mine[at >= 0], at[at >= 0]
+                found[mine], at_shard[mine] = at, part[a]
+                if rate:
+                    p[mine] += (10.0**level.values)[level.codes[at]]
+            nodes.append((at_shard, found))
         return ids, count, p, nodes
 
 
@@ -225,37 +263,50 @@ def train(docs: DataFrame, order: int = 3, min_count: int = 2, discount: float =
         codes, values = quantise(np.log10((counts + 1) / (tokens + vocabulary + 1)))
         for name, x in (("counts", counts), ("codes", codes), ("values", values)):
             files.put(name, x)
-        return pd.DataFrame({"shard": [int(key[0])], "base": [base], "n": [len(counts)]})
+        return pd.DataFrame({"shard": [int(key[0])], "base": [base], "n": [len(counts)], **_cut_row(counts, group_tokens)})
 
     if shards:
         shard = F.shiftright(F.shiftrightunsigned("hash", 32) * F.lit(shards).cast("long"), 32)
-        written = words.withColumn("shard", shard).groupBy("shard").applyInPandas(write_words, "shard long, base string, n long").collect()
+        written = words.withColumn("shard", shard).groupBy("shard").applyInPandas(write_words, f"shard long, base string, n long, {_CUT_ROW}").collect()
         sizes = [0] * shards
         for r in written:
             model.folders[0][r["shard"]], sizes[r["shard"]] = r["base"], r["n"]
         model.firsts = [0, *np.cumsum(sizes).tolist()][:-1]
+        model.cuts.append(_cuts(written, vocabulary))
     words.unpersist()
-    parts = max(1, -(-tokens // (group_tokens * max(shards, 1))))
     for k in range(2, order + 1 if shards else 2):
-        model.folders.append(_train_level(texts, model, k, min_count, discount, parts, folder))
+        _train_level(texts, model, k, order, min_count, discount, group_tokens, folder)
     return model
 
 
-def _train_level(texts: DataFrame, model: Model, k: int, min_count: int, discount: float, parts: int, folder: str) -> list[str | None]:
-    """Count, merge and write level ``k``; its shards' folders come back."""
-    below, shards = list(model.folders[-1]), len(model.firsts)
+_CUT_ROW = "begins array<long>, ways array<long>"
+
+
+def _cut_row(counts: np.ndarray, group_tokens: int) -> dict[str, list]:
+    begins, ways = cuts_of(counts, group_tokens)
+    return {"begins": [begins.tolist()], "ways": [ways.tolist()]}
+
+
+def _cuts(written: list, words: int) -> Cuts:
+    return Cuts([(r["shard"], r["n"], np.array(r["begins"], np.int64), np.array(r["ways"], np.int64)) for r in written], words)
+
+
+def _train_level(texts: DataFrame, model: Model, k: int, order: int, min_count: int, discount: float, group_tokens: int, folder: str) -> None:
+    """Count, merge and write level ``k``, and add it to the model; counts are kept where a next level needs them."""
+    below, cuts = list(model.folders[-1]), model.cuts[-1]
+    cut_of = np.repeat(np.arange(len(cuts.ways)), cuts.ways)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, starts in _windows(batches, _WINDOW):
-            ids, counts, _, nodes = model.walk(hashes, starts, k - 1)
+            ids, counts, _, nodes = model.walk(hashes, starts, k - 1, rate=False)
             shard, entry = (np.concatenate([[-1], x[:-1]]) for x in nodes[-1])
             entry[starts] = -1
             able = (entry >= 0) & (counts >= min_count) & (np.concatenate([[0], counts[:-1]]) >= min_count)
             if k > 2:
                 able &= nodes[-1][1] >= 0
             at = np.flatnonzero(able)
-            keys = (entry[at].astype(np.uint64) << np.uint64(32)) | ids[at].astype(np.uint64)
-            group = shard[at] * parts + ids[at] % parts
+            _, group, context = cuts.place(shard[at], entry[at], ids[at])
+            keys = (context.astype(np.uint64) << np.uint64(32)) | ids[at].astype(np.uint64)
             turn = np.argsort(group, kind="stable")
             keys, group = keys[turn], group[turn]
             edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() if len(group) else []
@@ -264,17 +315,14 @@ def _train_level(texts: DataFrame, model: Model, k: int, min_count: int, discoun
                 out.append((int(group[a]), *_shrink(*np.unique(keys[a:b], return_counts=True))))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["part", "keys", "counts"])
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merge(list(zip(rows["keys"], rows["counts"], strict=True)))
-        packed = _shrink(keys[counts >= min_count], counts[counts >= min_count])
-        return pd.DataFrame({"shard": [int(key[0]) // parts], "keys": [packed[0]], "counts": [packed[1]]})
-
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
         base = f"{folder}/level{k}-{shard:06d}-{TaskContext.get().taskAttemptId()}"
         files = Files(base)
+        cut = cut_of[shard]
         keys, counts = _merge(list(zip(rows["keys"], rows["counts"], strict=True)))
-        totals = np.asarray(Files(below[shard]).get("counts"))
+        keys, counts = keys[counts >= min_count], counts[counts >= min_count]
+        totals = np.asarray(Files(below[cuts.parent[cut]]).get("counts")[cuts.begin[cut] : cuts.end[cut]])
         context, word = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
         pointers = np.searchsorted(context, np.arange(len(totals) + 1))
         p = (counts - discount) / totals[context]
@@ -286,16 +334,23 @@ def _train_level(texts: DataFrame, model: Model, k: int, min_count: int, discoun
         EliasFano.build(word + np.repeat(raise_by, np.diff([*begins, len(context)]))).save(files.put, "words")
         codes, values = quantise(np.log10(p))
         weights, own = np.zeros(len(totals), np.uint8), context[begins]
-        weights[own], weight_values = quantise(np.log10(left[own]))
-        for name, x in (("codes", codes), ("values", values), ("weights", weights), ("weight_values", weight_values), ("counts", counts)):
+        weights[own], weight_values = quantise(np.log10(left[own]) if cuts.ways[cut] == 1 else np.zeros(len(own)))
+        for name, x in (("codes", codes), ("values", values), ("weights", weights), ("weight_values", weight_values)):
             files.put(name, x)
-        return pd.DataFrame({"shard": [shard], "base": [base]})
-
-    merged = texts.mapInArrow(count, "part long, keys binary, counts binary").groupBy("part").applyInPandas(merge, "shard long, keys binary, counts binary")
-    out: list[str | None] = [None] * shards
-    for r in merged.groupBy("shard").applyInPandas(write, "shard long, base string").collect():
-        out[r["shard"]] = r["base"]
-    return out
+        if k < order:
+            files.put("counts", counts.astype(np.min_scalar_type(counts.max(initial=0))))
+        return pd.DataFrame({"shard": [shard], "base": [base], "n": [len(counts)], "taken": [float(p.sum())], **_cut_row(counts, group_tokens)})
+
+    counted = texts.mapInArrow(count, "part long, keys binary, counts binary").groupBy("part")
+    written = counted.applyInPandas(write, f"shard long, base string, n long, taken double, {_CUT_ROW}").collect()
+    folders: list[str | None] = [None] * cuts.shards
+    taken = np.zeros(len(cuts.ways))
+    for r in written:
+        folders[r["shard"]] = r["base"]
+        taken[cut_of[r["shard"]]] += r["taken"]
+    cuts.weights = np.where(cuts.ways > 1, np.log10(np.clip(1 - taken, 1e-12, 1.0)), 0.0)
+    model.folders.append(folders)
+    model.cuts.append(_cuts(written, model.words))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -299,6 +299,21 @@ def test_the_registered_query_keeps_ngrams_that_occur_once(spark, tmp_path) -> N
         assert r["score"] == pytest.approx(score, abs=0.02 * len(t))
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_no_shard_grows_with_a_word_or_context(spark, least) -> None:
+    rnd = random.Random(12)
+    texts = [*ODD, *(" ".join(rnd.choice(["the"] * 20 + [f"w{i}" for i in range(60)]) for _ in range(rnd.randrange(60))) for _ in range(60))]
+    docs = frame(spark, texts)
+    whole, small = (lm.train(docs, min_count=least, group_tokens=n) for n in (10**9, 200))
+    sizes = [[0 if f is None else len(lm.Files(f).get("codes")) for f in x] for x in small.folders[1:]]
+    assert [len(x) for x in whole.folders] == [1, 1, 1] and max(small.cuts[0].ways) > 1 < max(small.cuts[1].ways)
+    assert max(map(max, sizes)) <= 200 and [sum(x) for x in sizes] == [len(lm.Files(x[0]).get("codes")) for x in whole.folders[1:]]
+    asked = frame(spark, [*texts, "the w1 the unknown w2 the the", "the " * 50])
+    a, b = ({r["doc_id"]: r for r in lm.score(asked, x).collect()} for x in (whole, small))
+    for i, r in a.items():
+        assert b[i]["score"] == pytest.approx(r["score"], abs=0.02 * r["n_tokens"]) and b[i]["n_known"] == r["n_known"]
+
+
 def test_an_empty_training_set(spark) -> None:
     model = lm.train(spark.createDataFrame([], DOCS))
     assert [r["base_score"] for r in lm.score(frame(spark, ["a b", None]), model).collect()] == [0.0, 0.0]
