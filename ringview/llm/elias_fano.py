@@ -32,12 +32,11 @@ def _put(out: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -> Non
 class EliasFano:
     """``n`` values in non-decreasing order: ``low`` holds their low bits, ``high`` the gaps of the rest in unary."""
 
-    PARTS = ("head", "low", "high", "ones")
+    PARTS = ("head", "low", "high", "ones", "zeros")
 
-    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
+    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
         self.n, self.bits = int(head[0]), int(head[1])
-        self.low, self.high, self.ones = low, high, ones
-        self.zeros = np.arange(len(high)) * 64 - ones[:-1]
+        self.low, self.high, self.ones, self.zeros = low, high, ones, zeros
         self.head = head
 
     @classmethod
@@ -54,7 +53,7 @@ class EliasFano:
         at = upper + np.arange(n)
         np.bitwise_or.at(high, at // 64, _ONE << (at % 64).astype(np.uint64))
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high))]).astype(np.int64)
-        return cls(np.array([n, bits], np.int64), low, high, ones)
+        return cls(np.array([n, bits], np.int64), low, high, ones, np.arange(len(high)) * 64 - ones[:-1])
 
     def save(self, put: Callable[[str, np.ndarray], None], name: str) -> None:
         for part in self.PARTS:
@@ -98,10 +97,12 @@ class EliasFano:
         if first is not None:
             low, high = np.maximum(low, first), np.minimum(high, last)
         end, wanted = high.copy(), targets & np.uint64((1 << self.bits) - 1)
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            below = open_ & (self._low(np.minimum(mid, max(self.n - 1, 0))) < wanted)
-            low, high = np.where(below, mid + 1, low), np.where(open_ & ~below, mid, high)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            mid = (low[open_] + high[open_]) >> 1
+            below = self._low(mid) < wanted[open_]
+            low[open_[below]], high[open_[~below]] = mid[below] + 1, mid[~below]
+            open_ = open_[low[open_] < high[open_]]
         hit = known & (low < end)
         hit &= self._low(np.where(hit, low, 0)) == wanted if self.n else False
         return np.where(hit, low, -1)

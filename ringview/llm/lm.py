@@ -10,8 +10,8 @@ known once all are written, stays with the cuts. Shards are arrays in the shared
 worker touches only what it asks for. A query finds the shard by the cuts and a word by successor search inside its context's range.
 
 Probabilities are absolutely discounted and interpolated: ``max(c - D, 0) / c(context)`` plus what is left times the
-shorter context's; words by ``(c + 1) / (N + V + 1)``. N-grams of two words or more that occur less than
-``min_count`` times hold no entry, and their mass stays in the back-off weight, so each context sums to one.
+shorter context's; words by ``(c + 1) / (N + V + 1)``. Every n-gram has an entry; a caller may give a ``min_count`` above 1, and n-grams
+of two words or more that occur less often leave their mass in the back-off weight, so each context sums to one.
 
 Training goes level by level over all training texts: tasks count in windows, drop n-grams whose parts the
 level before lacks, and send sorted keys as compressed differences to the shards, which merge and write them.
@@ -22,14 +22,18 @@ empty training set leaves every token unknown with probability one over ``N + V
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
+from xxhash import xxh3_64_intdigest as hash_text
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,19 +41,23 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, shared_path, slices
 from .elias_fano import EliasFano
-from .jaccard import _WORDS
+from .words import of_column
 
-END = xxhash.xxh3_64_intdigest(b" ")
+#: The end token: no word hashes a space.
+END = hash_text(b" ")
 _WINDOW = 1_000_000
 _BINS = 255
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of texts one after another, and where each text begins; every text ends with the end token."""
+    words, first = of_column(texts)
+    ends = first[1:] + np.arange(len(texts))
+    out = np.empty(len(words) + len(texts), np.uint64)
+    own = np.ones(len(out), bool)
+    own[ends] = False
+    out[own], out[ends] = words, END
+    return out, first[:-1] + np.arange(len(texts))
 
 
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +70,15 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (codes + 1).astype(np.uint8), np.concatenate([[0.0], sums / np.maximum(counts, 1)])
 
 
+def in_order(shards: np.ndarray, upto: int) -> np.ndarray:
+    """A stable order by shard number; numbers of 16 bits are sorted digit by digit."""
+    return np.argsort(shards.astype(np.uint16) if upto <= 1 << 16 else shards, kind="stable")
+
+
 class Files:
-    """Arrays under one folder; local ones are mapped into memory, others are read once."""
+    """Arrays under one folder, mapped into memory; from a store that is not local a process maps copies, which go when it ends."""
+
+    copies: ClassVar[list[tempfile.TemporaryDirectory]] = []
 
     def __init__(self, base: str) -> None:
         self.fs, self.base = filesystem(base)
@@ -75,10 +90,16 @@ class Files:
 
     def get(self, name: str) -> np.ndarray:
         path = f"{self.base}/{name}.npy"
-        if isinstance(self.fs, pafs.LocalFileSystem):
-            return np.load(path, mmap_mode="r")
-        with self.fs.open_input_stream(path) as f:
-            return np.load(pa.BufferReader(f.read()))
+        if not isinstance(self.fs, pafs.LocalFileSystem):
+            if not self.copies:
+                self.copies.append(tempfile.TemporaryDirectory(prefix="lm-"))
+            local = f"{self.copies[0].name}/{hash_text(path):016x}.npy"
+            if not os.path.exists(local):
+                with self.fs.open_input_stream(path) as f, open(f"{local}.part", "wb") as out:
+                    shutil.copyfileobj(f, out, 1 << 20)
+                os.replace(f"{local}.part", local)
+            path = local
+        return np.asarray(np.load(path, mmap_mode="r"))
 
 
 class Level:
@@ -182,7 +203,7 @@ class Model:
             cut, part, context = cuts.place(shard[own], entry[own], ids[own])
             if rate:
                 p[own] *= 10.0 ** cuts.weights[cut]
-            turn = np.argsort(part, kind="stable")
+            turn = in_order(part, cuts.shards)
             own, part, context = own[turn], part[turn], context[turn]
             edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
             for a, b in zip(edges, [*edges[1:], len(own)], strict=True):
@@ -208,15 +229,15 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.
     """Token hashes of many texts at once, with the places where texts begin."""
     held, starts, n = [], [], 0
     for b in slices(batches):
-        for t in b.column(0).to_pylist():
-            starts.append(n)
-            held.append(token_hashes(t))
-            n += len(held[-1])
+        tokens, begins = token_hashes(b.column(0))
+        held.append(tokens)
+        starts.append(begins + n)
+        n += len(tokens)
         if n >= size:
-            yield np.concatenate(held), np.array(starts)
+            yield np.concatenate(held), np.concatenate(starts)
             held, starts, n = [], [], 0
     if held:
-        yield np.concatenate(held), np.array(starts)
+        yield np.concatenate(held), np.concatenate(starts)
 
 
 def _shrink(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -236,7 +257,7 @@ def _merge(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return joined[begins], np.add.reduceat(counts[order], begins)
 
 
-def train(docs: DataFrame, order: int = 3, min_count: int = 2, discount: float = 0.75, shard_words: int = 1 << 18, group_tokens: int = 4_000_000) -> Model:
+def train(docs: DataFrame, order: int = 3, min_count: int = 1, discount: float = 0.75, shard_words: int = 1 << 18, group_tokens: int = 4_000_000) -> Model:
     """Train on the column ``text`` of all rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
@@ -250,6 +271,8 @@ def train(docs: DataFrame, order: int = 3, min_count: int = 2, discount: float =
     words = texts.mapInArrow(count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).persist()
     total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     vocabulary, tokens = total["v"], total["n"]
+    if vocabulary >= 1 << 32:
+        raise ValueError(f"{vocabulary} distinct words: word ids have 32 bits")
     shards = -(-vocabulary // shard_words)
     model = Model(tokens, vocabulary, [0] * shards, [[None] * shards])
 
@@ -307,7 +330,7 @@ def _train_level(texts: DataFrame, model: Model, k: int, order: int, min_count:
             at = np.flatnonzero(able)
             _, group, context = cuts.place(shard[at], entry[at], ids[at])
             keys = (context.astype(np.uint64) << np.uint64(32)) | ids[at].astype(np.uint64)
-            turn = np.argsort(group, kind="stable")
+            turn = in_order(group, cuts.shards)
             keys, group = keys[turn], group[turn]
             edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() if len(group) else []
             out = []
@@ -321,7 +344,8 @@ def _train_level(texts: DataFrame, model: Model, k: int, order: int, min_count:
         files = Files(base)
         cut = cut_of[shard]
         keys, counts = _merge(list(zip(rows["keys"], rows["counts"], strict=True)))
-        keys, counts = keys[counts >= min_count], counts[counts >= min_count]
+        if min_count > 1:
+            keys, counts = keys[counts >= min_count], counts[counts >= min_count]
         totals = np.asarray(Files(below[cuts.parent[cut]]).get("counts")[cuts.begin[cut] : cuts.end[cut]])
         context, word = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
         pointers = np.searchsorted(context, np.arange(len(totals) + 1))
@@ -357,10 +381,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every row; scores are log10 probabilities of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def rated(ids: list[pa.Array], parts: list[np.ndarray]) -> pa.RecordBatch:
-        lengths = np.array([len(x) for x in parts], np.int64)
+    def rated(ids: list[pa.Array], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        lengths = np.concatenate([np.diff(starts, append=len(tokens)) for tokens, starts in parts])
         starts = np.cumsum(lengths) - lengths
-        _, count, p, _ = model.walk(np.concatenate(parts), starts, len(model.folders))
+        _, count, p, _ = model.walk(np.concatenate([tokens for tokens, _ in parts]), starts, len(model.folders))
         base = np.log10((count + 1) / (model.tokens + model.words + 1))
         sums = [pa.array(np.add.reduceat(x, starts)) for x in ((count > 0).astype(np.int64), base, np.log10(p))]
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(lengths), *sums], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
@@ -369,8 +393,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         ids, parts, n = [], [], 0
         for b in slices(batches):
             ids.append(b.column(0))
-            parts += [token_hashes(t) for t in b.column(1).to_pylist()]
-            n += sum(map(len, parts[-b.num_rows :]))
+            parts.append(token_hashes(b.column(1)))
+            n += len(parts[-1][0])
             if n >= _WINDOW:
                 yield rated(ids, parts)
                 ids, parts, n = [], [], 0

@@ -8,10 +8,12 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ringview.llm import decontamination, html_extraction, licenses, lm, quality_classifier, quality_rules, queries
+from ringview.llm import words as hashed
 from ringview.llm.elias_fano import EliasFano
 
 DOCS = "doc_id long, text string, lang string, source string, n_words int, score double"
@@ -223,6 +225,25 @@ def test_classifier_handles_odd_rows(spark) -> None:
     assert quality_classifier.classify(docs.limit(0), labels).count() == 0
 
 
+# Words
+
+
+def test_word_hashes_of_bytes(monkeypatch) -> None:
+    texts = [None, "", " \t", "a bb  ccc", "A BB\nccc", "é É", "x" * 40, "a " + "z" * 30 + " b", "tail ", "\x0b lead", "a\xa0b"]
+    for segment in (5, 1 << 17):
+        monkeypatch.setattr(hashed, "SEGMENT", segment)
+        hashes, first = hashed.of_column(pa.array(["skipped", *texts, "skipped"]).slice(1, len(texts)))
+        own = {}
+        for i, t in enumerate(texts):
+            wanted = (t or "").encode().lower().split()
+            assert first[i + 1] - first[i] == len(wanted)
+            for w, h in zip(wanted, hashes[first[i] : first[i + 1]].tolist(), strict=True):
+                assert own.setdefault(w, h) == h
+            assert (hashed.of_text(t) == hashes[first[i] : first[i + 1]]).all()
+        assert len(set(own.values())) == len(own)
+    assert [x.tolist() for x in hashed.of_column(pa.array([], pa.string()))] == [[], [0]]
+
+
 # Language model
 
 
@@ -237,12 +258,12 @@ def test_elias_fano_finds_what_is_there() -> None:
             assert values[i] == x if i >= 0 else x not in set(values.tolist())
 
 
-@pytest.mark.parametrize("shard_words", [1 << 18, 7])
-def test_scores_equal_a_dictionary_model(spark, shard_words) -> None:
+@pytest.mark.parametrize(("shard_words", "least"), [(1 << 18, 1), (1 << 18, 2), (7, 1), (7, 2)])
+def test_scores_equal_a_dictionary_model(spark, shard_words, least) -> None:
     rnd = random.Random(8)
     texts = [*ODD, *(" ".join(rnd.choice("a b c D e f g h i j k".split()) for _ in range(rnd.randrange(30))) for _ in range(80))]
     train = texts[:70]
-    model = lm.train(frame(spark, train), shard_words=shard_words)
+    model = lm.train(frame(spark, train), shard_words=shard_words, min_count=least)
     got = {r["doc_id"]: r for r in lm.score(frame(spark, texts), model).collect()}
     cut = lambda t: [*(t or "").encode().lower().split(), b" "]
     u, b, t3 = Counter(), Counter(), Counter()
@@ -252,7 +273,7 @@ def test_scores_equal_a_dictionary_model(spark, shard_words) -> None:
         t3.update(zip(t, t[1:], t[2:], strict=False))
     n, v = sum(u.values()), len(u)
     assert (model.tokens, model.words) == (n, v)
-    b, t3 = ({k: c for k, c in x.items() if c >= 2} for x in (b, t3))
+    b, t3 = ({k: c for k, c in x.items() if c >= least} for x in (b, t3))
     left2, left3 = Counter(), Counter()
     for k, c in b.items():
         left2[k[0]] += (c - 0.75) / u[k[0]]
