@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,14 +14,21 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = str(Path(__file__).resolve().parents[2])
+PACKAGE = Path(__file__).resolve().parents[1]
+_shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it on its own path only."""
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [REPO, env.get("PYTHONPATH", "")]))
+    """Ship this package to the Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="ringview-")
+    with zipfile.ZipFile(f"{folder}/{PACKAGE.name}.zip", "w") as z:
+        for x in sorted(PACKAGE.rglob("*.py")):
+            z.write(x, x.relative_to(PACKAGE.parent))
+    context.addPyFile(f"{folder}/{PACKAGE.name}.zip")
+    _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder stands in where it is unset."""
+    """A new path under ``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = Path(tempfile.mkdtemp(prefix="ringview-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = Path(tempfile.gettempdir(), f"ringview-{spark.sparkContext.applicationId}").as_uri()
     return f"{base.rstrip('/')}/ringview/{name}-{uuid.uuid4().hex}"
 
 

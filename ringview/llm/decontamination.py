@@ -1,10 +1,12 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Every benchmark item gives its windows of ``width`` consecutive words; an item with fewer words is one window.
-Windows are indexed by an anchor, their rarest word in the corpus, so common words are never probed. One pass
-over the exploded corpus words counts the words of the benchmark vocabulary; the next meets the anchors as a
-broadcast hash table (its size is checked, beyond it the join is shuffled) and each meeting is verified against
-the whole window in place. Verified spans are gathered by row; hit words are the union of its spans.
+The hashes of all distinct windows are a set of 64-bit numbers that is broadcast. One scan over the
+documents hashes each window of a text from the hashes of its words and probes the set; windows that hit are compared word by
+word with the benchmark's, so a hash never decides alone. Verified spans are gathered by row; hit words are the union of its spans.
+
+Up to ``broadcast_windows`` hashes are broadcast at once; a larger benchmark is taken in blocks of about that many,
+one scan for each, so the set in memory stays bounded and no text is shuffled.
 
 A row is known by its id and a hash of its text, so equal rows give equal results and rows that only share an
 id stay apart. Null text has no words, and neither has a null item; a null item id counts as an item but has
@@ -13,11 +15,13 @@ no name in the digest; empty tables give no hits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 #: What separates words: ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,33 +45,43 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), words_of(F.col("text")).alias("w"))
 
 
-def anchors(docs: DataFrame, benchmark: DataFrame, width: int, broadcast_words: int) -> DataFrame:
-    """``(anchor, window, at, items)``: each distinct window by its rarest word; ties go to the longer, then the smaller word."""
-    wins = windows(benchmark, width).groupBy("window").agg(F.collect_set("item_id").alias("items"), F.max(F.col("item_id").isNull()).alias("unnamed"))
-    vocabulary = wins.select(F.explode("window").alias("word")).distinct()
-    if vocabulary.limit(broadcast_words + 1).count() <= broadcast_words:
-        vocabulary = F.broadcast(vocabulary)
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(vocabulary, "word").groupBy("word").count()
-    placed = wins.select("*", F.posexplode("window").alias("at", "word")).join(counts, "word", "left")
-    rank = F.struct(F.coalesce("count", F.lit(0)).alias("n"), (-F.length("word")).alias("len"), F.col("word"), F.col("at"))
-    return placed.groupBy("window").agg(F.min(rank).alias("r"), F.first("items").alias("items"), F.first("unnamed").alias("unnamed")).select(F.col("r.word").alias("anchor"), "window", F.col("r.at").alias("at"), "items", "unnamed")
+def _hashes(length: int) -> str:
+    """SQL for the hash of each window of ``length`` words, from the array ``h`` of word hashes."""
+    return f"if(size(h) >= {length}, transform(sequence(1, size(h) - {length - 1}), i -> xxhash64(slice(h, i, {length}))), array())"
 
 
-def hit_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_words: int = 500_000) -> DataFrame:
-    """``(doc_id, text_hash, start, length, items, unnamed)``: every place in a document where a window occurs."""
-    index = anchors(docs, benchmark, width, broadcast_words).persist()
-    if index.limit(broadcast_words + 1).count() <= broadcast_words:
-        index = F.broadcast(index)
-    met = _rows(docs).select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "anchor")).join(index, "anchor")
-    start = F.col("pos") - F.col("at")
-    return met.where((start >= 0) & F.expr("pos >= at AND slice(w, greatest(pos - at, 0) + 1, size(window)) = window")).select(
-        "doc_id", "text_hash", start.alias("start"), F.size("window").alias("length"), "items", "unnamed"
-    )
+def window_index(benchmark: DataFrame, width: int) -> DataFrame:
+    """``(hash, length, window, items, unnamed)`` of each distinct window."""
+    wins = windows(benchmark, width).groupBy("window").agg(F.collect_set("item_id").alias("items"), F.max(F.col("item_id").isNull()).alias("unnamed"))
+    return wins.select(F.expr("xxhash64(transform(window, x -> xxhash64(x)))").alias("hash"), F.size("window").alias("length"), "window", "items", "unnamed")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_words: int = 500_000) -> DataFrame:
+def hit_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_windows: int = 1_000_000) -> DataFrame:
+    """``(doc_id, text_hash, start, length, items, unnamed)``: every place in a document where a window occurs."""
+    index = cut(window_index(benchmark, width), "benchmark-windows")
+    sizes = index.groupBy("length").agg(F.count("*").alias("n")).collect()  # one row for each length up to width
+    lengths, blocks = sorted((r["length"] for r in sizes), reverse=True), max(1, -(-sum(r["n"] for r in sizes) // broadcast_windows))
+    # The windows of all lengths stand one after another, so a text is scanned once.
+    each = F.expr(f"concat({', '.join(map(_hashes, lengths or [width]))})")
+    length, start, before = F.lit(0), F.col("at"), F.lit(0)
+    for k in lengths:
+        own = (F.col("at") >= before) & (F.col("at") < before + F.greatest(F.col("n") - (k - 1), F.lit(0)))
+        length, start = F.when(own, k).otherwise(length), F.when(own, F.col("at") - before).otherwise(start)
+        before = before + F.greatest(F.col("n") - (k - 1), F.lit(0))
+    rows = _rows(docs).select("doc_id", "text_hash", "w", F.size("w").alias("n"), F.expr("transform(w, x -> xxhash64(x))").alias("h"))
+    met = []
+    for block in range(blocks):
+        own = index.where(F.pmod("hash", F.lit(blocks)) == block) if blocks > 1 else index
+        places = rows.select("doc_id", "text_hash", "w", "n", F.posexplode(each).alias("at", "hash"))
+        hit = places.join(F.broadcast(own.select("hash").distinct()), "hash", "left_semi")
+        hit = hit.select("doc_id", "text_hash", "hash", start.cast("int").alias("start"), F.slice("w", start + 1, length).alias("window"))
+        met.append(hit.join(own, ["hash", "window"]).select("doc_id", "text_hash", "start", "length", "items", "unnamed"))
+    return reduce(DataFrame.unionByName, met)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_windows: int = 1_000_000) -> DataFrame:
     """Per row ``doc_id, text_hash, n_words, n_hit, n_items, items, spans``; spans are disjoint ``(start, end)`` word ranges."""
-    spans = hit_spans(docs, benchmark, width, broadcast_words)
+    spans = hit_spans(docs, benchmark, width, broadcast_windows)
     by_row = spans.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("s"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),

@@ -1,19 +1,23 @@
 """Exact n-gram Jaccard join and the components of its links.
 
-Documents with equal shingle sets collapse into one class. Classes meet in tiles: a tile is a shingle that
-several classes hold among the first ``n - ceil(t * n) + 1`` of their ordered shingles, which two sets of
-similarity ``t`` must share (prefix filter). Shingles that many documents hold are ordered last, so a common passage
-opens no tile unless a text consists of such. In a tile, sizes must lie in one band
+Documents with equal shingle sets collapse into one class. Classes meet in tiles: a tile is a shingle and a size
+band. A class opens tiles for the first ``n - ceil(t * n) + 1`` of its ordered shingles, one of which two sets of
+similarity ``t`` must share (prefix filter), in the band of its own size and in that of the largest set it can link with;
+bands double in size. Shingles that many documents hold are ordered last, so a common passage
+opens no tile unless a text consists of such. In a tile, sizes must agree
 (``t * larger <= smaller``) and both classes must be in tiles enough for the overlap that a link needs; then hashed bitmap signatures bound the overlap from above by bit counts; what is
 left is decided by intersecting the sorted shingle arrays.
 
 Links are found in two rounds, so that a group of copies costs its size and not its square: first every tile
 member against the tile's pivot; then only members that are still in different components and that the
 triangle inequality over their distances to the pivot leaves a link (the Jaccard distance is a metric).
-A pair in one component needs no test, and nothing else is left out: components are exact.
+A pair in one component needs no test, and nothing else is left out: components are exact. A tile's pivot and
+components come from sums that are merged before the shuffle and joined back, so no task needs a whole tile.
 
-Defined results: null or blank texts have an empty set, are their own component and link with nothing; rows
-that repeat an id are one node, and links of any of its texts count; a row without id has no component
+Shingles are compared by 64-bit hashes of their words; sets are exact up to collisions of those.
+
+Defined results: null or blank texts have an empty set and link with nothing; rows
+that repeat an id are one node: links of any of its texts count, and all its rows have its component; a row without id has no component
 and links with nothing; an empty table gives no rows; other columns are not read.
 """
 
@@ -27,37 +31,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, prepare, slices
+from .words import of_column
 
 #: Signature bits for sets of up to half as many shingles; larger sets double them.
 LEAST_BITS = 2048
-#: Words whose hashes a worker keeps.
-_MAX_WORDS = 400_000
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _MAX_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` words in a row."""
+    n = len(h) - width + 1
+    out = np.full(n, width, np.uint64)
+    for k in range(width):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
-_WORDS = _Words()
+def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """Each text's sorted distinct shingle hashes; with fewer words, the whole sequence is one."""
+    hashes, first = of_column(texts)
+    whole = _rolled(hashes, width) if len(hashes) >= width else hashes[:0]
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        out.append(np.unique(whole[a : b - width + 1]) if b - a >= width else _rolled(hashes[a:b], b - a) if b > a else hashes[:0])
+    return out
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text; with fewer words, the whole sequence is one."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(len(h), width), np.uint64)
-    for k in range(min(width, len(h))):
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(32)))
+    return shingle_sets(pa.array([text], pa.string()), width)[0]
 
 
 def signature(found: np.ndarray) -> bytes:
@@ -104,7 +106,7 @@ def _sets(docs: DataFrame, width: int, window: int = 4_000_000, least: int = 4)
 
         names, kind, size = ["id", "n", "fingerprint", "signature", "common", "counts"], pa.int64(), 0
         for b in slices(batches):
-            found = [shingles(t, width) for t in b.column(1).to_pylist()]
+            found = shingle_sets(b.column(1), width)
             prints = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
             none = pa.nulls(b.num_rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -123,25 +125,42 @@ def _sets(docs: DataFrame, width: int, window: int = 4_000_000, least: int = 4)
     return docs.mapInArrow(of, "id long, n long, fingerprint binary, signature binary, common array<long>, counts array<long>")
 
 
+def bands(n: int, percent: int) -> list[int]:
+    """The size bands of a set of ``n``: its own and, if another, that of the largest set it can link with."""
+    own, last = n.bit_length(), (100 * n // percent).bit_length()
+    return [own] if own == last else [own, last]
+
+
+def tile_numbers(prefix: np.ndarray, band: int) -> np.ndarray:
+    """The numbers of the tiles of these shingles in a band."""
+    return prefix ^ np.uint64(band * 0xD6E8FEB86659FD93 % 2**64)
+
+
 def _entries(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``(shingle, id, pos)`` of each set's prefix, common shingles last."""
+    """``(tile, id, pos, rank)`` of each set's prefix, common shingles last; the more of a set is common, the lower its rank."""
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, parts, sizes = b.column(0).to_numpy(), [], []
-            for t in b.column(1).to_pylist():
-                x = shingles(t, width)
-                need = prefix_length(len(x), percent) if len(x) else 0
+            parts: list[tuple[np.ndarray, int, int, int]] = []
+            for id_, x in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), width), strict=True):
+                need, rank = prefix_length(len(x), percent) if len(x) else 0, 0
                 if len(last.value) and need:
                     at = np.searchsorted(last.value, x)
                     is_common = last.value[np.minimum(at, len(last.value) - 1)] == x
-                    x = np.concatenate([x[~is_common], x[is_common]])[:need] if is_common.any() else x[:need]
-                parts.append(x[:need])
-                sizes.append(need)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), pa.int32())], ["shingle", "id", "pos"])
+                    rank = -int(is_common.sum())
+                    x = np.concatenate([x[~is_common], x[is_common]]) if rank else x
+                parts += [(tile_numbers(x[:need], band), id_, need, rank) for band in bands(len(x), percent)]
+            sizes = [k for _, _, k, _ in parts]
+            columns = [
+                pa.array(np.concatenate([t for t, *_ in parts]).view(np.int64) if parts else [], pa.int64()),
+                pa.array(np.repeat([i for _, i, _, _ in parts], sizes), pa.int64()),
+                pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]) if parts else [], pa.int32()),
+                pa.array(np.repeat([r for *_, r in parts], sizes), pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["tile", "id", "pos", "rank"])
 
-    return docs.mapInArrow(of, "shingle long, id long, pos int")
+    return docs.mapInArrow(of, "tile long, id long, pos int, rank int")
 
 
 def _only(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
@@ -183,7 +202,7 @@ def _measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, p
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1), width)], pa.binary())], ["id", "x"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -208,18 +227,18 @@ def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every node of the links ``(a, b)``, the smallest id of each component.
 
     Large-star and small-star steps alternate on written edge tables until nothing changes; the number of
-    rounds grows with the logarithm of a component's size.
+    rounds grows with the logarithm of a component's size. Minima are merged before the shuffle and joined
+    back, so the neighbours of one node need not meet in one task.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    over = Window.partitionBy("u")
     mark = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+    least = lambda e: e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
     before = mark(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
-        large = both.withColumn("m", F.least("u", F.min("v").over(over))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.withColumn("m", F.min("v").over(over))
-        small = least.select("u", F.col("m").alias("v")).union(least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = cut(small, "edges")
+        large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        found = least(cut(large, "stars"))
+        edges = cut(found.select("u", F.col("m").alias("v")).union(found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         now = mark(edges)
         if now == before:
             break
@@ -236,6 +255,7 @@ def join(
     smallest id. ``links``: verified pairs ``(a, b)`` of class ids, enough for all components. ``common_over``
     and ``most_common`` say which shingles are ordered last; they change the work, not the result.
     """
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = cut(_sets(docs, width), "sets")
     rows = sets.where("common IS NULL").select("id", "n", "fingerprint", "signature")
@@ -247,26 +267,34 @@ def join(
     classes = cut(full.groupBy("fingerprint").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
     ids = classes.select("id").distinct()
     docs = docs.where("id IS NOT NULL")
-    of_tile = Window.partitionBy("shingle")
-    shared = cut(_entries(_only(docs, ids, broadcast_ids), common, width, percent).withColumn("members", F.count("*").over(of_tile)).where("members > 1").select("shingle", "id", "pos"), "shared")
-    # The pivot of a tile is its class with the most tiles: the copy that others differ from least.
-    degree = shared.groupBy("id").agg(F.count("*").alias("tiles"))
-    pivot = F.min(F.struct(-F.col("tiles"), F.col("id"))).over(of_tile)["id"]
-    onward = F.count("*").over(Window.partitionBy("id").orderBy(F.desc("pos")))
-    tiles = cut(shared.withColumn("onward", onward).join(degree, "id").select("shingle", "id", "onward", pivot.alias("pivot")), "tiles")
-    sizes = cut(classes.select("id", "n", "signature").join(degree, "id"), "sizes")
+    entries = cut(_entries(_only(docs, ids, broadcast_ids), common, width, percent), "entries")
+    # The pivot of a tile is the class with the most common shingles: the copy that others differ from least.
+    opened = entries.groupBy("tile").agg(F.count("*").alias("members"), F.min(F.struct("rank", "id")).alias("pivot")).where("members > 1")
+    shared = cut(entries.join(opened.select("tile", F.col("pivot.id").alias("pivot")), "tile").select("tile", "id", "pos", "pivot"), "shared")
+    # A shingle of both bands counts once.
+    onward = F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("pos"))).cast("long")
+    tiles = cut(shared.select("tile", "id", onward.alias("onward"), "pivot"), "tiles")
+    sizes = cut(classes.select("id", "n", "signature").join(tiles.groupBy("id").agg(F.max("onward").alias("tiles")), "id"), "sizes")
     stars = cut(tiles.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     measured = cut(_measured(stars, sizes, docs, width, percent, broadcast_ids), "star-distances")
     links = measured.where("linked").select("a", "b")
 
     found = components(links)
-    placed = tiles.join(found, "id", "left").select("shingle", "id", "onward", "pivot", F.coalesce("component", "id").alias("component"))
-    mixed = placed.withColumns({"first": F.min("component").over(of_tile), "last": F.max("component").over(of_tile)}).where("first <> last").drop("first", "last")
-    mixed = mixed.join(sizes.groupBy("id").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high")), "id")
+    placed = cut(tiles.join(found, "id", "left").select("tile", "id", "onward", "pivot", F.coalesce("component", "id").alias("component")), "placed")
+    open_ = placed.groupBy("tile").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("tile")
+    mixed = placed.join(open_, "tile").join(sizes.groupBy("id").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high")), "id")
     to_pivot = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "low", "high")
+    is_pivot = F.col("id") == F.col("pivot")
     mixed = cut(
         mixed.join(to_pivot, ["pivot", "id"], "left").select(
-            "shingle", "id", "component", "n_low", "n_high", "onward", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")
+            "tile",
+            "id",
+            "component",
+            "n_low",
+            "n_high",
+            "onward",
+            F.when(is_pivot, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"),
+            F.when(is_pivot, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"),
         ),
         "mixed-tiles",
     )
@@ -276,7 +304,7 @@ def join(
     near = (F.col("a.low") - F.col("b.high") <= most) & (F.col("b.low") - F.col("a.high") <= most)
     # In the first tile that a pair shares, no shared tile lies before: what is onward bounds the overlap (positional filter).
     able = _able(*(F.col(f"{x}.{c}") for c in ("n_low", "n_high", "onward") for x in "ab"), percent)
-    across = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.id") < F.col("b.id")) & able & near)
+    across = a.join(b, (F.col("a.tile") == F.col("b.tile")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.id") < F.col("b.id")) & able & near)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     links = links.union(_measured(rest, sizes, docs, width, percent, broadcast_ids).where("linked").select("a", "b"))
@@ -287,23 +315,28 @@ def duplicates(docs: DataFrame, **kw: int) -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id``; the component is the smallest id that links reach."""
     rows, classes, links = join(docs, **kw)
     # A class holds ids besides its own: each joins the graph through the class.
-    pooled = rows.where("id IS NOT NULL AND n > 0").groupBy("id").agg(F.countDistinct("fingerprint").alias("texts")).where("texts > 1").select("id")
-    named = classes.select("fingerprint", F.col("id").alias("class_id"))
-    extra = rows.where("n > 0").join(pooled, "id", "left_semi").join(named, "fingerprint").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-    found = components(links.union(extra))
-    of_class = named.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("fingerprint", F.coalesce("component", "class_id").alias("component_id"))
-    full = rows.where("id IS NOT NULL AND n > 0").join(of_class, "fingerprint").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("id IS NULL OR n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return full.union(empty)
+    full = rows.where("id IS NOT NULL AND n > 0").select("id", "fingerprint").distinct()
+    named = full.join(classes.select("fingerprint", F.col("id").alias("class_id")), "fingerprint")
+    several = named.groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("texts"))
+    extra = named.join(several.where("texts > 1").select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
+    found = components(links.union(extra)).withColumnRenamed("id", "class_id")
+    of_id = several.join(found, "class_id", "left").select("id", F.coalesce("component", "class_id").alias("component_id"))
+    return rows.join(of_id, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def drop_duplicates(docs: DataFrame, **kw: int) -> DataFrame:
+def drop_duplicates(docs: DataFrame, broadcast_ids: int = 1_000_000, **kw: int) -> DataFrame:
     """One document of each component, that of the smallest id, with all its columns.
 
-    Of rows that repeat that id all equal in text stay one row's worth: rows that repeat an id are one document.
-    Documents with empty sets all stay.
+    An id's rows with different texts are one document and stay or go together; of its rows that are equal in text one stays.
+    Rows with empty sets link with nothing and stay, also where other rows of their id go; rows without id all stay.
     """
-    rated = duplicates(docs.select("doc_id", "text"), **kw)
-    gone = rated.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
-
+    rated = duplicates(docs.select("doc_id", "text"), broadcast_ids=broadcast_ids, **kw)
+    gone = cut(rated.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    left = docs.alias("d").join(gone.alias("g"), (F.col("d.doc_id") == F.col("g.doc_id")) & worded, "left_anti")
+    again = cut(left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("__repeated")), "repeated-ids")
+    if again.isEmpty():
+        return left
+    small = again.limit(broadcast_ids + 1).count() <= broadcast_ids
+    own = left.join(F.broadcast(again) if small else again, F.col("doc_id") == F.col("__repeated"), "left")
+    return own.where("__repeated IS NULL").unionByName(own.where("__repeated IS NOT NULL").dropDuplicates(["doc_id", "text"])).drop("__repeated")

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_path, slices
+from .common import filesystem, prepare, shared_path, slices
 from .elias_fano import EliasFano
 from .words import of_column
 
@@ -260,6 +260,7 @@ def _merge(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, order: int = 3, min_count: int = 1, discount: float = 0.75, shard_words: int = 1 << 18, group_tokens: int = 4_000_000) -> Model:
     """Train on the column ``text`` of all rows."""
     spark = docs.sparkSession
+    prepare(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     folder = shared_path(spark, "lm")
 
@@ -379,6 +380,7 @@ def _train_level(texts: DataFrame, model: Model, k: int, order: int, min_count:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every row; scores are log10 probabilities of the text."""
+    prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rated(ids: list[pa.Array], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, prepare, slices
 from .tokens import Encoder, default_tokenizer
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n, ids)``: ids as little-endian unsigned 32-bit numbers, ``end_id`` last, ``n`` with it."""
+    prepare(docs.sparkSession)
     path, end = tokenizer or default_tokenizer(), int(end_id).to_bytes(4, "little")
     kind = docs.schema[key].dataType
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ascii_lower, cut, slices
+from .common import ascii_lower, cut, prepare, slices
 from .quality_rules import measure
 
 #: ASCII other than letters separates the words of the lexicon.
@@ -89,6 +89,7 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lexicon_words: int = 2_000, least_gain: float = 20.0) -> Model:
     """The document classifier from a bounded sample of labelled rows."""
+    prepare(docs.sparkSession)
     sample = _labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = cut(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id"), "classifier-sample")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
@@ -118,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lexicon_w
 
 def with_evidence(docs: DataFrame, model: Model, column: str = "__evidence") -> DataFrame:
     """All columns and a struct with the classifier's logit for each label."""
+    prepare(docs.sparkSession)
     schema = StructType([*docs.schema, *StructType.fromDDL(f"`{column}` struct<low:double,toxic:double>")])
     at = docs.columns.index("text")
 

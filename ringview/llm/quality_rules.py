@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, slices
+from .common import cut, prepare, slices
 
 #: Cutoffs are multiples of ``1 / STEPS`` of a measure between 0 and 1.
 STEPS = 100
@@ -87,6 +87,7 @@ def measure(text: str) -> tuple[int, ...]:
 
 def with_features(docs: DataFrame, column: str = "quality_features") -> DataFrame:
     """All columns and a struct of the counts."""
+    prepare(docs.sparkSession)
     schema = StructType([*docs.schema, *StructType.fromDDL(f"`{column}` struct<{FEATURES.replace(' ', ':').replace(',:', ',')}>")])
     at = docs.columns.index("text")
     names = [x.split()[0] for x in FEATURES.split(", ")]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, filesystem, shared_path, slices
+from .common import cut, filesystem, prepare, shared_path, slices
 from .tokens import Encoder, default_tokenizer
 
 #: Bits per remaining key on each level.
@@ -143,6 +143,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
 
     ``width`` is 2 for vocabularies under 65,536 ids, else 4. ``first_id`` counts the ids of all shards before.
     """
+    prepare(docs.sparkSession)
     spark, vocabulary = docs.sparkSession, tokenizer or default_tokenizer()
     folder = path or shared_path(spark, "token-shards")
     end = int(end_id).to_bytes(4, "little")

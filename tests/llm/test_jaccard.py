@@ -75,6 +75,24 @@ def test_one_of_each_group_stays(spark) -> None:
     assert sorted(r["doc_id"] for r in jaccard.drop_duplicates(docs).collect()) == [1, 3, 4]
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark) -> None:
+    rows = [(5, "", "p"), (5, "a b c d e f", "q"), (2, "a b c d e f", "r"), (7, "x y", "s"), (7, "x y", "t"), (8, "o n e", "u"), (8, "t w o", "v"), (None, "x y", "w"), (None, "x y", "w"), (9, None, "x"), (9, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jaccard.duplicates(docs).collect()) == sorted(
+        [(5, 0, 2), (5, 2, 2), (2, 2, 2), (7, 1, 7), (7, 1, 7), (8, 1, 8), (8, 1, 8), (-1, 1, -1), (-1, 1, -1), (9, 0, 9), (9, 0, 9)]
+    )
+    for limit in (10, 0):
+        kept = jaccard.drop_duplicates(docs, broadcast_ids=limit)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == [(-1, "x y"), (-1, "x y"), (2, "a b c d e f"), (5, ""), (7, "x y"), (8, "o n e"), (8, "t w o"), (9, "")]
+
+
+def test_bands_hold_every_size_that_can_link() -> None:
+    for n in range(1, 700):
+        for m in range(n, 100 * n // 80 + 1):
+            assert m.bit_length() in jaccard.bands(n, 80) and m.bit_length() in jaccard.bands(m, 80)
+
+
 def test_empty(spark) -> None:
     assert jaccard.duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
