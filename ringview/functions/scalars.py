@@ -6,7 +6,8 @@ Dates are dates; ``date_code`` gives the yyyymmdd integer that views compare by.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def divide(x: ColumnOrName, y: ColumnOrName) -> Column:
 def divide_int(x: ColumnOrName, y: ColumnOrName) -> Column:
     """Division that cuts toward zero; 0 where the divisor is 0."""
     x, y = _c(x).cast("long"), _c(y).cast("long")
-    return F.when(y == 0, F.lit(0)).otherwise(((x - x % F.when(y == 0, 1).otherwise(y)) / F.when(y == 0, 1).otherwise(y)).cast("long"))
+    return F.when(y == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", x, F.when(y == 0, 1).otherwise(y)))
 
 
 def modulo(x: ColumnOrName, y: ColumnOrName) -> Column:
@@ -73,9 +74,10 @@ def to_text(x: ColumnOrName) -> Column:
     return _c(x).cast("string")
 
 
-def substring(s: ColumnOrName, start: int, length: int) -> Column:
-    """``start`` counts from 0."""
-    return F.substring(_c(s), start + 1, length)
+def substring(s: ColumnOrName, start: int, length: int, strict: bool = False) -> Column:
+    """``start`` counts from 0. A strict one raises where the text ends before the part does."""
+    part = F.substring(_c(s), start + 1, length)
+    return F.when(F.length(_c(s)) < start + length, F.raise_error(F.lit("substring out of range"))).otherwise(part) if strict else part
 
 
 def concat(*xs: ColumnOrName) -> Column:
@@ -155,8 +157,37 @@ REGISTRY: dict[str, Callable[..., Column]] = {
 }
 
 
-def register(name: str, builder: Callable[..., Column]) -> None:
-    """Add a function of columns under a name of its own."""
-    if name in REGISTRY:
+#: Typed functions by name and number of arguments: their builder, argument types and result type.
+_TYPED: dict[str, dict[int, tuple[Callable[..., Column], tuple[str, ...], str]]] = {}
+
+
+def register(name: str, builder: Callable[..., Column], takes: Sequence[str] | None = None, returns: str | None = None) -> None:
+    """Add a function of columns under a name of its own; typed ones may share a name if they differ in their number of arguments."""
+    if name in REGISTRY or (name in _TYPED and (takes is None or len(takes) in _TYPED[name])):
         raise ValueError(f"{name!r} is taken")
-    REGISTRY[name] = builder
+    if takes is None:
+        REGISTRY[name] = builder
+    else:
+        _TYPED.setdefault(name, {})[len(takes)] = (builder, tuple(takes), returns or "double")
+
+
+def call(name: str, *args: ColumnOrName | int | float) -> Column:
+    """A function by name; arguments and result of a typed one are cast to its types."""
+    if name in REGISTRY:
+        return REGISTRY[name](*args)
+    if len(args) not in _TYPED.get(name, {}):
+        raise ValueError(f"no function {name!r} of {len(args)} arguments")
+    builder, takes, returns = _TYPED[name][len(args)]
+    return builder(*[_c(x).cast(t) for x, t in zip(args, takes, strict=True)]).cast(returns)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Functions that are registered inside are gone after it."""
+    untyped, typed = dict(REGISTRY), {k: dict(v) for k, v in _TYPED.items()}
+    try:
+        yield
+    finally:
+        for held, before in ((REGISTRY, untyped), (_TYPED, typed)):
+            held.clear()
+            held.update(before)

@@ -72,6 +72,11 @@ def equijoin(a: DataFrame, b: DataFrame, keys: Keys, how: str = "inner") -> Data
     return a.join(b, list(keys), how)
 
 
+def equijoin_fold(a: DataFrame, b: DataFrame, keys: Keys, **accumulators: Column) -> DataFrame:
+    """All matches of an equi-join folded into accumulators; over nothing they are 0."""
+    return fold(equijoin(a, b, keys), **accumulators)
+
+
 def combine(a: DataFrame, b: DataFrame, kind: str = "bag", keys: Keys = ()) -> DataFrame:
     """Union by kind: bags add, sets unite, maps let the right side win."""
     if kind == "bag":
@@ -118,6 +123,13 @@ def peek(c: DataFrame) -> DataFrame:
     return c.limit(1)
 
 
+def peek_with_vid(c: DataFrame, vid: int | None = None) -> DataFrame:
+    """The entry of least key of the newest version before ``vid`` (of all versions if none), with its version."""
+    seen = c if vid is None else c.filter(F.col("vid") < vid)
+    rest = [x for x in c.columns if x != "vid"]
+    return seen.groupBy("vid").agg(F.min(F.struct(*rest)).alias("__e")).orderBy(F.desc("vid")).limit(1).select("vid", "__e.*").select(*c.columns)
+
+
 def at(c: DataFrame, index: int, position: str = "pos", default: dict[str, object] | None = None) -> DataFrame:
     """The row at a position; a hole gives the default row if there is one."""
     found = c.filter(F.col(position) == index)

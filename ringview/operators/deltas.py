@@ -177,7 +177,8 @@ class _Keyed(Expr):
         raise NotImplementedError
 
     def _summed(self, g: Gmr) -> Gmr:
-        return g.sum(g.vars)
+        """Keys whose values add up to 0 have no row left; without keys the sum is 0."""
+        return g.settled(g.vars) if g.vars else g.sum()
 
     def rows(self, env: Relations) -> Gmr:
         return self._apply(self._summed(self.inner.rows(env)))
@@ -207,7 +208,7 @@ class Lift(_Keyed):
     var: str
 
     def _apply(self, g: Gmr) -> Gmr:
-        return (g.pruned() if g.vars else g).lift(self.var)
+        return g.lift(self.var)
 
 
 def count_and_sum(inner: Expr, by: Sequence[str], value: Column) -> tuple[Expr, Expr]:

@@ -39,7 +39,7 @@ class Gmr:
         return cls(rows.select(*[F.col(c).alias(v) for v, c in first.items()], (F.lit(1) if value is None else value).alias(V)), tuple(first))
 
     def join(self, other: Gmr) -> Gmr:
-        """The product: a natural join on shared variables, a cross product where there are none."""
+        """The product: a natural join on shared variables, a cross product where there are none (scalars, or as asked)."""
         shared = [v for v in self.vars if v in other.vars]
         left, right = self.df, other.df.withColumnRenamed(V, "__w")
         both = left.join(right, shared) if shared else left.crossJoin(right)
@@ -74,6 +74,11 @@ class Gmr:
             return Gmr(self.df.groupBy(*by).agg(F.sum(V).alias(V)), tuple(by))
         return Gmr(self.df.agg(F.coalesce(F.sum(V), F.lit(0)).alias(V)), ())
 
+    def settled(self, by: Sequence[str]) -> Gmr:
+        """A group-by sum without the groups that add up to 0; for floats, to less than rounding leaves of their terms."""
+        summed = self.df.groupBy(*by).agg(F.sum(V).alias(V), F.sum(F.abs(F.col(V))).alias("__size"))
+        return Gmr(summed.where(F.abs(F.col(V)) > F.col("__size") * 2.0**-40).select(*by, V), tuple(by))
+
     def lift(self, var: str, value: Column | None = None) -> Gmr:
         """``var ^= value``: a new variable takes the value (the ring value if none is given); a bound one must equal it."""
         value = F.col(V) if value is None else value
@@ -87,8 +92,8 @@ class Gmr:
 
     def exists(self) -> Gmr:
         """1 for each key whose summed value is not 0."""
-        summed = self.sum(self.vars) if self.vars else self.sum()
-        return Gmr(summed.df.where(F.col(V) != 0).withColumn(V, F.lit(1)), self.vars)
+        summed = self.settled(self.vars) if self.vars else self.sum().pruned()
+        return Gmr(summed.df.withColumn(V, F.lit(1)), self.vars)
 
     def absent(self, of: Gmr) -> Gmr:
         """The rows of ``of`` whose keys this relation does not have (``not exists``)."""

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("tpch", "features", "views")
+_MODULES: tuple[str, ...] = ("tpch", "features", "views", "sources", "changes", "molecules", "streams")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,25 @@ def revenue() -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; a temporary folder stands in where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="ringview-")).as_uri()
+    """A new path in the folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary folder in local mode, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = Path(tempfile.gettempdir(), f"ringview-{spark.sparkContext.applicationId}").as_uri()
     return f"{base.rstrip('/')}/ringview/{name}-{uuid.uuid4().hex}"
+
+
+def register(queries: dict[str, Callable[[SparkSession, str], DataFrame]], oracles: dict[str, str]) -> Callable[[str | None], Callable]:
+    """A decorator that enters a query under its name, with its SQL."""
+
+    def query(sql: str | None = None) -> Callable:
+        def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+            queries[f.__name__] = f
+            if sql is not None:
+                oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return query

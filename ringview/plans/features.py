@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.ordered import running_sums
 from .common import load
 
 _WITH = """WITH r AS (SELECT n_regionkey AS a, n_nationkey AS b FROM nation),
@@ -113,24 +114,17 @@ def _less_pairs(r: DataFrame, s: DataFrame) -> DataFrame:
         s.groupBy("b").agg(F.lit(0).alias("n"), F.lit(0).alias("x"), F.count("*").alias("m"), F.sum("c").alias("y"))
     )
     by = by.groupBy("b").agg(*[F.sum(k).alias(k) for k in "nxmy"])
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    return by.select("m", "y", F.sum("n").over(before).alias("pn"), F.sum("x").over(before).alias("px")).agg(_sum(c("m") * c("pn"), "n"), _sum(c("y") * c("px"), "v"))
+    sums = running_sums(by, "b", ["n", "x"])
+    return sums.agg(_sum(c("m") * c("before_n"), "n"), _sum(c("y") * c("before_x"), "v"))
 
 
 def _sum_of_less(r: DataFrame) -> DataFrame:
-    before = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    counts = r.groupBy("a").agg(F.count("*").alias("n")).withColumn("less", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return r.join(counts.where("less < 10"), "a", "left_semi").select("a", "b")
+    counts = running_sums(r.groupBy("a").agg(F.count("*").alias("n")), "a", ["n"])
+    return r.join(counts.where("before_n < 10"), "a", "left_semi").select("a", "b")
 
 
 def _running(s: DataFrame) -> DataFrame:
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = s.groupBy("b").agg(F.sum("c").alias("v")).select("b", _coalesced(F.sum("v").over(before)).alias("before"))
-    return s.join(sums, "b").select("b", "c", "before")
-
-
-def _coalesced(x: Column) -> Column:
-    return F.coalesce(x, F.lit(0)).cast("long")
+    return running_sums(s, "b", ["c"]).select("b", "c", c("before_c").cast("long").alias("before"))
 
 
 def _exists_other(s: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import collections as K
 from ..operators import deltas as D
-from ..operators.gmr import Gmr, constant, on_demand, product
+from ..operators.gmr import Gmr, V, constant, on_demand, product
+from ..operators.ordered import running_sums, sums_before
 from ..sources import adaptors as A
 from ..streaming import views as W
 from .common import load, shared_path
@@ -95,11 +96,11 @@ def calc_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_WITH + "SELECT x AS \"X\", CAST((SELECT coalesce(sum(c), 0) FROM s WHERE c < x) AS BIGINT) AS value FROM (SELECT DISTINCT a AS x FROM r)")
 def calc_view_with_an_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A view asked for with input values: sums by C first, then only distinct C meet the inputs."""
+    """A view asked for with input values: sums by C first, then one running sum over the values of C and X."""
     r, s, _ = _gmrs(spark, sf_dir)
-    below = s.times(c("C")).sum(["C"])
+    below = s.times(c("C")).sum(["C"]).df.select(c("C").alias("X"), c(V).alias("v"))
     asked = r.lift("X", c("A")).exists().sum(["X"]).exists()
-    found = on_demand(lambda x: (x * below).where("C < X").sum(["X"]), asked)
+    found = on_demand(lambda x: Gmr(sums_before(x.df, below, "X", "v").select("X", c("v").alias(V)), ("X",)), asked)
     return asked.look_up(found).frame().withColumn("value", c("value").cast("long"))
 
 
@@ -325,8 +326,7 @@ def _book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _volume_above(side: DataFrame) -> DataFrame:
     """``price`` and the volume at higher prices: sums by price, then a running sum over prices; 0 at the top."""
     by_price = side.groupBy("price").agg(F.sum("volume").alias("v"))
-    above = Window.orderBy(F.desc("price")).rowsBetween(Window.unboundedPreceding, -1)
-    return by_price.select("price", F.coalesce(F.sum("v").over(above), F.lit(0.0)).alias("above"))
+    return running_sums(by_price, "price", ["v"], descending=True).select("price", c("before_v").alias("above"))
 
 
 @_query(_BOOK + "SELECT round(coalesce(sum(price * volume), 0), 2) AS value FROM bids b WHERE 0.25 * (SELECT coalesce(sum(volume), 0) FROM bids) > (SELECT coalesce(sum(x.volume), 0) FROM bids x WHERE x.price > b.price)")
@@ -390,28 +390,12 @@ def finance_missed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by(bids, "b").join(by(asks, "a"), "broker").select("broker", F.round(c("wa") * c("nb") - c("wb") * c("na"), 2).alias("value"))
 
 
-# Geometry over the first dimensions of the embeddings
-
-
-def _vector(x: Column, start: int) -> tuple[Column, Column, Column]:
-    return tuple(F.element_at(x, start + k).cast("double") for k in range(3))
-
-
-@_query()
-def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length, angle and torsion of points whose coordinates are an embedding's first twelve values."""
-    (points,) = load(spark, sf_dir, "embeddings")
-    key, values = points.columns[0], next(f.name for f in points.schema if f.dataType.typeName() == "array")
-    p = [_vector(c(values), 3 * k + 1) for k in range(4)]
-    return points.select(key, F.round(S.vec_length(p[0]), 6).alias("length"), F.round(S.vector_angle(p[0], p[1]), 6).alias("angle"), F.round(S.dihedral_angle(*p), 6).alias("torsion"))
-
-
 # Sources
 
 
 @_query("SELECT event, mux, count(*) AS n FROM (SELECT 1 AS event, 'orders' AS mux FROM orders UNION ALL SELECT 1, 'nation' FROM nation) GROUP BY 1, 2")
 def source_multiplexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, nations = load(spark, sf_dir, "orders", "nation")
-    wide = A.multiplex({"orders": orders, "nation": nations}, seed=3)
+    wide = A.multiplex({"orders": orders, "nation": nations}, {"orders": "o_orderkey", "nation": "n_nationkey"}, seed=3)
     back = A.demultiplex(wide, "ORDERS", {"k": "o_orderkey"}).select(c("op").alias("event"), F.lit("orders").alias("mux"))
     return back.unionByName(A.demultiplex(wide, "nation", {"k": "n_nationkey"}).select(c("op").alias("event"), F.lit("nation").alias("mux"))).groupBy("event", "mux").agg(F.count("*").alias("n"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, StructType
 
+from ..operators.ordered import running_sums
+
 EMPTY_DATE = "1900-01-01"
 
 
@@ -30,12 +32,14 @@ def fill_empty(df: DataFrame, schema: str | StructType) -> DataFrame:
     return df.select(*[F.coalesce(F.col(f.name), _zero(f.dataType)).alias(f.name) if f.name in _schema(schema).names else F.col(f.name) for f in df.schema])
 
 
-def read_delimited(spark: SparkSession, path: str | list[str], schema: str | StructType, delimiter: str = "|", deletions: bool = False, stream: bool = False, line_end: str | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], schema: str | StructType, delimiter: str = "|", deletions: bool = False, stream: bool = False, line_end: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """Delimited text. With ``deletions`` a leading flag says which rows delete, and ``op`` is 1 or -1."""
     fields = _schema(schema)
     full = StructType.fromDDL("__del int") if deletions else StructType()
     full = StructType([*full.fields, *fields.fields])
     reader = (spark.readStream if stream else spark.read).schema(full).option("sep", delimiter)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if line_end:
         reader = reader.option("lineSep", line_end)
     df = fill_empty(reader.csv(path), fields)
@@ -66,15 +70,26 @@ def demultiplex(wide: DataFrame, relation: str, columns: dict[str, str], mux: st
     return wide.where(F.lower(F.col(mux)) == relation.lower()).select(F.when(F.col(event) == 1, 1).otherwise(-1).alias("op"), *[F.col(c).alias(n) for n, c in columns.items()])
 
 
-def multiplex(relations: dict[str, DataFrame], seed: int = 0) -> DataFrame:
-    """Relations interleaved in one wide frame: ``seq`` is a random order that a seed fixes, columns a relation lacks are null."""
+def multiplex(relations: dict[str, DataFrame], order: dict[str, str], seed: int = 0, sentry: bool = False) -> DataFrame:
+    """Relations interleaved at random in one wide frame, each in its own order; columns a relation lacks are null.
+
+    ``order`` names each relation's column of distinct numbers. ``seq`` is a row's time of arrival: gaps between a relation's rows are drawn from one
+    exponential distribution, so at each step every relation that is left is as likely to be next. A seed fixes the draw. With ``sentry`` a last row has
+    that name, no event and no columns.
+    """
     out = None
     for name, df in relations.items():
+        key = order[name]
+        unit = (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col(key)), F.lit(1 << 52)) + 1) / float(1 << 52)
         part = df if "event" in df.columns else df.withColumn("event", F.lit(1))
-        part = part.withColumn("mux", F.lit(name))
+        part = running_sums(part.withColumn("__gap", -F.log(unit)), key, ["__gap"])
+        part = part.withColumns({"mux": F.lit(name), "seq": F.col("before___gap") + F.col("__gap")}).drop("__gap", "before___gap")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    rest = [c for c in out.columns if c not in ("mux", "event")]
-    return out.select(F.xxhash64(F.lit(seed), F.struct(*out.columns)).alias("seq"), "mux", "event", *rest)
+    if sentry:
+        last = out.agg(F.coalesce(F.max("seq") + 1, F.lit(0.0)).alias("seq")).withColumn("mux", F.lit("sentry"))
+        out = out.unionByName(last, allowMissingColumns=True)
+    rest = [c for c in out.columns if c not in ("seq", "mux", "event")]
+    return out.select("seq", "mux", "event", *rest)
 
 
 def order_book(messages: DataFrame, brokers: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -120,6 +135,11 @@ def in_sequence(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def repeated(source: DataFrame, times: int) -> DataFrame:
+    """A source read over and over: ``round`` counts from 0."""
+    return source.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))) if times > 0 else source.withColumn("round", F.lit(0)).limit(0)
+
+
 def first_available(spark: SparkSession, *choices: DataFrame) -> DataFrame:
     """The first source that has rows, else the last."""
     for df in choices[:-1]:

@@ -4,12 +4,17 @@ A view's state is a Parquet table of ``(vid, keys..., __v, __n)`` increments, on
 path. A version is written to a folder of its own and replaces itself when a batch is replayed, so
 ``foreachBatch`` may call twice. A value at ``v`` is the sum of the increments up to ``v``: late changes need no
 correction, whatever order they come in. ``__n`` counts rows, so a group whose sum is 0 is not taken for one that is gone.
+
+Compaction writes the sum up to a version as ``upto=<vid>`` and only then deletes what it holds. A reader takes the
+newest one that was written to its end (it has Spark's ``_SUCCESS``) and the increments after it, so a crash at any point loses and doubles
+nothing. Batches read a relation's present rows and what came since, not its history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,36 +33,57 @@ class ViewLog:
     keys: tuple[str, ...]
 
     def write(self, vid: int, increments: DataFrame) -> None:
-        """Store a version; writing it again replaces it."""
+        """Store a version; writing it again replaces it. One that was compacted can no longer change."""
+        if (upto := self.compacted()) is not None and vid <= upto:
+            raise ValueError(f"version {vid} was compacted")
         columns = [*self.keys, V, "__n"]
         summed = increments.groupBy(*self.keys).agg(F.sum(V).alias(V), F.sum("__n").alias("__n")).where(f"{V} <> 0 OR __n <> 0")
         summed.select(*columns).write.mode("overwrite").parquet(f"{self.path}/vid={vid}")
 
+    def _folders(self) -> tuple[object, list[tuple[str, int, object]]]:
+        """The file system, and kind, version and path of each folder."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = []
+        for status in fs.listStatus(root) if fs.exists(root) else []:
+            kind, _, number = status.getPath().getName().partition("=")
+            if kind in ("vid", "upto") and number.lstrip("-").isdigit():
+                found.append((kind, int(number), status.getPath()))
+        return fs, found
+
+    def compacted(self) -> int | None:
+        """The version up to which increments are one sum."""
+        fs, found = self._folders()
+        done = [v for kind, v, path in found if kind == "upto" and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))]
+        return max(done, default=None)
+
     def increments(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/vid=*")
+        """All increments by version; the compacted sum has the version it goes up to."""
+        upto, (_, found) = self.compacted(), self._folders()
+        parts = [] if upto is None else [self.spark.read.parquet(f"{self.path}/upto={upto}").withColumn("vid", F.lit(upto))]
+        if live := [str(path) for kind, v, path in found if kind == "vid" and (upto is None or v > upto)]:
+            parts.append(self.spark.read.option("basePath", self.path).parquet(*live))
+        return reduce(DataFrame.unionByName, parts)
 
     def as_of(self, vid: int | None = None, strict: bool = False) -> DataFrame:
-        """``(keys..., __v, __n)`` at a version, or before it; groups without rows are left out."""
+        """``(keys..., __v, __n)`` at a version, or before it; groups without rows are left out. Versions before the compacted one are gone."""
+        upto = self.compacted()
+        if vid is not None and upto is not None and vid - strict < upto:
+            raise ValueError(f"versions before {upto} were compacted")
         log = self.increments()
         if vid is not None:
             log = log.where(F.col("vid") < vid if strict else F.col("vid") <= vid)
         return log.groupBy(*self.keys).agg(F.sum(V).alias(V), F.sum("__n").alias("__n")).where("__n <> 0")
 
     def compact(self, vid: int) -> None:
-        """One increment for all versions up to ``vid``; snapshots from ``vid`` on stay the same.
-
-        The sum is written beside the log first; then it takes the place of version ``vid`` and older ones go.
-        """
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        root = fs_path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        held = f"{self.path}/_compacting"
-        self.as_of(vid).write.mode("overwrite").parquet(held)
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("vid=") and int(name[4:]) <= vid:
-                fs.delete(status.getPath(), True)
-        fs.rename(fs_path(held), fs_path(f"{self.path}/vid={vid}"))
+        """One sum for all versions up to ``vid``; snapshots from ``vid`` on stay the same."""
+        if (self.compacted() or vid - 1) < vid:
+            self.as_of(vid).write.mode("overwrite").parquet(f"{self.path}/upto={vid}")
+        fs, found = self._folders()
+        upto = self.compacted()
+        for kind, v, path in found:
+            if v <= upto and (kind, v) != ("upto", upto):
+                fs.delete(path, True)
 
 
 @dataclass(frozen=True)
@@ -116,9 +142,21 @@ def maintain(base: Base, views: dict[str, View], schemas: dict[str, Sequence[str
         batch.unpersist()
 
 
-def stream(source: DataFrame, base: Base, views: dict[str, View], schemas: dict[str, Sequence[str]], checkpoint: str, first_vid: int = 1) -> StreamingQuery:
-    """Drive the views from a stream of tagged changes until what is there now is used up."""
-    handle = lambda batch, batch_id: maintain(base, views, schemas, batch, first_vid + batch_id)
+def stream(
+    source: DataFrame, base: Base, views: dict[str, View], schemas: dict[str, Sequence[str]], checkpoint: str, first_vid: int = 1, compact_every: int | None = None
+) -> StreamingQuery:
+    """Drive the views from a stream of tagged changes until what is there now is used up.
+
+    With ``compact_every``, base relations are compacted after so many versions, up to the version before the last, which may yet be replayed.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        vid = first_vid + batch_id
+        maintain(base, views, schemas, batch, vid)
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            for log in base.logs.values():
+                log.compact(vid - 1)
+
     return source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

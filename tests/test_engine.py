@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import shutil
 from collections import Counter
 
 import pytest
@@ -11,6 +12,7 @@ from ringview.functions import scalars as S
 from ringview.operators import collections as K
 from ringview.operators import deltas as D
 from ringview.operators.gmr import Gmr, V, constant
+from ringview.operators.ordered import running_sums, sums_before
 from ringview.sources import adaptors as A
 from ringview.streaming import views as W
 
@@ -115,6 +117,55 @@ def test_views_from_a_stream(spark, tmp_path) -> None:
     assert rows(view.log.as_of(), "A", V, "__n") == expected(events)
 
 
+def test_compaction_survives_a_crash(spark, tmp_path) -> None:
+    log = W.ViewLog(spark, f"{tmp_path}/log", ("k",))
+    part = lambda *x: spark.createDataFrame([(k, v, 1) for k, v in x], f"k string, {V} double, __n long")
+    for vid, row in ((0, ("a", 1.0)), (1, ("a", 2.0)), (2, ("b", 4.0))):
+        log.write(vid, part(row))
+    now = rows(log.as_of())
+    (tmp_path / "log/upto=1").mkdir()  # a sum that was not written to its end counts for nothing
+    assert log.compacted() is None and rows(log.as_of()) == now
+    shutil.copytree(tmp_path / "log/vid=0", tmp_path / "kept")
+    log.compact(1)
+    assert rows(log.as_of()) == now and sorted(x.name for x in (tmp_path / "log").iterdir()) == ["upto=1", "vid=2"]
+    shutil.copytree(tmp_path / "kept", tmp_path / "log/vid=0")  # an old version whose deletion did not happen counts once
+    assert rows(log.as_of()) == now
+    log.compact(1)
+    assert rows(log.as_of()) == now and not (tmp_path / "log/vid=0").exists()
+    with pytest.raises(ValueError, match="compacted"):
+        log.write(1, part(("a", 9.0)))
+    with pytest.raises(ValueError, match="compacted"):
+        log.as_of(1, strict=True)
+    log.write(4, part(("a", 8.0)))
+    log.write(3, part(("c", 5.0)))
+    assert rows(log.as_of(3)) == [("a", 3.0, 2), ("b", 4.0, 1), ("c", 5.0, 1)]
+    log.compact(4)
+    assert rows(log.as_of()) == [("a", 11.0, 3), ("b", 4.0, 1), ("c", 5.0, 1)]
+
+
+def test_what_rounding_leaves_is_no_row(spark) -> None:
+    old = Gmr(spark.createDataFrame([(1, 0.1), (1, 0.2), (2, 0.5)], f"X long, {V} double"), ("X",))
+    change = Gmr(spark.createDataFrame([(1, -0.3)], f"X long, {V} double"), ("X",))
+    for e, left in ((D.Sum(D.Exists(D.rel("R", "X")), ("X",)), [(2, 1)]), (D.Sum(D.Lift(D.Sum(D.rel("R", "X"), ("X",)), "M"), ("X", "M")), [(2, 0.5, 1)])):
+        assert rows(e.after({"R": old}, {"R": change}).sum(e.by).pruned().df) == left
+    tiny = Gmr(spark.createDataFrame([(1, 1e-30)], f"X long, {V} double"), ("X",))
+    assert rows(tiny.exists().df) == [(1, 1)]
+
+
+def test_running_sums(spark) -> None:
+    rnd = random.Random(3)
+    data = [(rnd.choice("ab"), rnd.randrange(40), rnd.randrange(9)) for _ in range(300)]
+    df = spark.createDataFrame(data, "g string, k long, v long").repartition(3)
+    for ranges in (1, 2, 7, 50):
+        up, down, each = running_sums(df, "k", ["v"], ranges=ranges), running_sums(df, "k", ["v"], descending=True, ranges=ranges), running_sums(df, "k", ["v"], group=["g"], ranges=ranges)
+        assert rows(up) == sorted(((g, k, v, sum(x[2] for x in data if x[1] < k)) for g, k, v in data), key=repr)
+        assert rows(down) == sorted(((g, k, v, sum(x[2] for x in data if x[1] > k)) for g, k, v in data), key=repr)
+        assert rows(each) == sorted(((g, k, v, sum(x[2] for x in data if x[1] < k and x[0] == g)) for g, k, v in data), key=repr)
+    assert running_sums(df.limit(0), "k", ["v"]).count() == 0
+    points = spark.createDataFrame([(5,), (5,), (99,), (-1,)], "k long")
+    assert rows(sums_before(points, df, "k", "v")) == sorted([(-1, 0), (5, sum(x[2] for x in data if x[1] < 5)), (99, sum(x[2] for x in data))], key=repr)
+
+
 def test_replaced_slices(spark) -> None:
     view, new = (spark.createDataFrame(x, "k long, j long, v long") for x in ([(1, 1, 5), (1, 2, 6), (2, 1, 7)], [(1, 9, 1)]))
     assert rows(W.replace_slice(view, new, ["k"])) == [(1, 9, 1), (2, 1, 7)]
@@ -194,6 +245,18 @@ def test_scalars(spark) -> None:
         S.date_part("week", "d")
     with pytest.raises(ValueError, match="taken"):
         S.register("abs", S.absolute)
+    with S.scope():
+        S.register("mine", lambda x: x / 2, takes=["double"], returns="long")
+        with pytest.raises(ValueError, match="taken"):
+            S.register("mine", lambda x: x, takes=["long"])
+        assert one.select(S.call("mine", F.lit("9"))).first()[0] == 4
+        with pytest.raises(ValueError, match="2 arguments"):
+            S.call("mine", 1, 2)
+    with pytest.raises(ValueError, match="no function"):
+        S.call("mine", 1)
+    assert one.select(S.substring("s", 1, 5, strict=True)).first()[0] == "bcdef"
+    with pytest.raises(Exception, match="out of range"):
+        one.select(S.substring("s", 2, 5, strict=True)).collect()
 
 
 # Sources
@@ -213,7 +276,7 @@ def test_delimited_sources(spark, tmp_path) -> None:
 
 def test_multiplexed_and_generated_sources(spark) -> None:
     r, s = spark.createDataFrame([(1, 2)], "a long, b long"), spark.createDataFrame([(3, 0), (4, 1)], "c long, event int")
-    wide = A.multiplex({"R": r, "S": s}, seed=1)
+    wide = A.multiplex({"R": r, "S": s}, {"R": "a", "S": "c"}, seed=1)
     assert rows(A.demultiplex(wide, "s", {"x": "c"})) == [(-1, 3), (1, 4)] and rows(A.demultiplex(wide, "r", {"b": "b"})) == [(1, 2)]
     made = A.random_rows(spark, 50, "a long, b double, c string, d date, e boolean", seed=4)
     assert rows(made) == rows(A.random_rows(spark, 50, "a long, b double, c string, d date, e boolean", seed=4)) and made.distinct().count() == 50
