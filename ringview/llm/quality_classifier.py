@@ -9,9 +9,10 @@ document's logit. A document is kept when the probability that it is both of qua
 ``threshold``.
 
 The classifier is fitted on at most ``sample_rows`` labelled documents, taken in order of a hash of the id;
-sums over sites cover every document. ``host`` and ``path`` are columns, ``source`` and ``lang`` for documents.
+sums over sites cover every document. ``host`` and ``path`` are columns, ``source`` and ``lang`` for documents. Up to ``broadcast_sites``
+sites are broadcast; beyond it verdicts are joined to the documents by id and a hash of the text, so a site that holds many of them is not one group.
 
-Defined results: null text is an empty text; null hosts and paths are sites of their own; labels with nulls
+Defined results: null text is an empty text; null hosts and paths are sites of their own, apart from empty ones; labels with nulls
 are not used; with labels of one kind only (or none) that kind's share is all the evidence; of labels that
 repeat an id the worse counts; equal rows get equal scores; other columns pass through untouched.
 """
@@ -169,7 +170,8 @@ def site_shifts(evidence: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sites(docs: DataFrame, host: str, path: str) -> list[Column]:
-    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host, "host"), (path, "path"))]
+    """Names as keys that are never null: ``=name``, and the empty string for null."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(n) for c, n in ((host, "host"), (path, "path"))]
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, broadcast_sites: int = 100_000, **kw: int) -> DataFrame:
@@ -191,10 +193,18 @@ def _good(low: Column, toxic: Column) -> Column:
 def drop_rejected(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, broadcast_sites: int = 100_000, **kw: int) -> DataFrame:
     """The documents that are kept, with all their columns."""
     model = fit(docs, labels, **kw)
-    rows = docs.select("doc_id", *_sites(docs, host, path), F.col("text").cast("string").alias("text"))
-    evidence = cut(with_evidence(rows, model).select("doc_id", "host", "path", "__evidence.*"), "evidence")
-    shifts = site_shifts(evidence, labels).select(F.struct("host", "path").alias("__site"), F.struct("shift_low", "shift_toxic").alias("__shift"))
-    small = shifts.limit(broadcast_sites + 1).count() <= broadcast_sites
-    rated = with_evidence(docs, model).withColumn("__site", F.struct(*_sites(docs, host, path))).join(F.broadcast(shifts) if small else shifts, "__site")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), *_sites(docs, host, path), text.alias("text"))
+    evidence = cut(with_evidence(rows, model).select("doc_id", "text_hash", "host", "path", "__evidence.*"), "evidence")
+    shifts = site_shifts(evidence, labels)
+    if shifts.limit(broadcast_sites + 1).count() > broadcast_sites:
+        bad = evidence.join(shifts, ["host", "path"]).where(~(_good(F.col("low"), F.col("toxic")) >= threshold))
+        bad = cut(bad.select("doc_id", "text_hash", "host", "path").distinct(), "rejected").alias("b")
+        own = dict(zip(("host", "path"), _sites(docs, host, path), strict=True))
+        kept = docs.withColumns({"__doc_id": F.col("doc_id"), "__text_hash": F.xxhash64(text), "__host": own["host"], "__path": own["path"]})
+        same = F.col("__doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("__text_hash") == F.col("b.text_hash")) & (F.col("__host") == F.col("b.host")) & (F.col("__path") == F.col("b.path"))
+        return kept.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shifts = shifts.select(F.struct("host", "path").alias("__site"), F.struct("shift_low", "shift_toxic").alias("__shift"))
+    rated = with_evidence(docs, model).withColumn("__site", F.struct(*_sites(docs, host, path))).join(F.broadcast(shifts), "__site")
     p = lambda k: _probability(F.col("__evidence")[k] + F.col("__shift")[f"shift_{k}"])
     return rated.where((1 - p("low")) * (1 - p("toxic")) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

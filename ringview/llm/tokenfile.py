@@ -6,11 +6,12 @@ cascade of bit arrays (a key takes the first level on which no other remaining k
 the rank of that bit), and each slot holds a fingerprint of its key, the payload offset and the lengths of the
 key's documents. A lookup costs a few hashes and one read at an offset; a key that is absent is found out by the fingerprint.
 
-Rows are range-partitioned and sorted by key, so shards follow each other in ascending order. Each task
+Rows are range-partitioned and sorted by key, then by the text's first 64 characters and its hash, so shards follow each other in ascending order and the
+documents of one key may fill several. Each task
 writes files under a name of its own attempt and the manifest names those of the attempt that counted.
 
-Defined results: null keys come first and are kept (they share the key slot of null); a key that repeats
-keeps all its documents in one slot, in order of their texts; null text holds the end id alone; an empty
+Defined results: null keys come first and are kept (they share a slot with the least key, whose documents follow); a key that repeats
+keeps all its documents of a shard in one slot, in that order; null text holds the end id alone; an empty
 table has no shards.
 """
 
@@ -139,7 +140,7 @@ def write_index(keys: np.ndarray, lengths: np.ndarray) -> bytes:
 
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, docs_per_shard: int = 8192, width: int = 2, path: str | None = None) -> DataFrame:
-    """Encode and write; the manifest comes back: ``shard, base, n_docs, n_ids, first_id``.
+    """Encode and write; the manifest comes back: ``shard, base, n_docs, n_null, n_ids, first_id``.
 
     ``width`` is 2 for vocabularies under 65,536 ids, else 4. ``first_id`` counts the ids of all shards before.
     """
@@ -152,11 +153,12 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
         task = TaskContext.get()
         base = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         fs, at = filesystem(base)
-        encoder, keys, lengths, out = Encoder.of(vocabulary), [], [], None
+        encoder, keys, lengths, out, nulls = Encoder.of(vocabulary), [], [], None, 0
         for b in slices(batches):
             if out is None:
                 fs.create_dir(at.rpartition("/")[0])
                 out = fs.open_output_stream(f"{at}.ids")
+            nulls += b.column(0).null_count
             keys.append(b.column(0).fill_null(_NULL).to_numpy())
             for ids in encoder.encode([t or "" for t in b.column(1).to_pylist()]):
                 whole = np.frombuffer(ids + end, "<u4")
@@ -171,11 +173,14 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
         for name, data in (("keys", all_keys.tobytes()), ("mph", write_index(all_keys, all_lengths))):
             with fs.open_output_stream(f"{at}.{name}") as f:
                 f.write(data)
-        yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "base": [base], "n_docs": [len(lengths)], "n_ids": [int(all_lengths.sum())]})
+        yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "base": [base], "n_docs": [len(lengths)], "n_null": [nulls], "n_ids": [int(all_lengths.sum())]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = max(1, -(-rows.count() // docs_per_shard))
-    written = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard long, base string, n_docs long, n_ids long")
+    # Equal ids are split by text: one key may hold more than a task should.
+    order = [F.col("doc_id"), F.substring("text", 1, 64), F.xxhash64("text")]
+    placed = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    written = placed.mapInArrow(write, "shard long, base string, n_docs long, n_null long, n_ids long")
     manifest = cut(written, "token-manifest")
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("first_id", before)
@@ -186,15 +191,20 @@ def read_shards(manifest: DataFrame, width: int = 2) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for base, first in zip(b.column("base").to_pylist(), b.column("first_id").to_pylist(), strict=True):
+            for base, first, nulls in zip(*(b.column(x).to_pylist() for x in ("base", "first_id", "n_null")), strict=True):
                 shard = Shard(base, width)
                 keys = np.unique(shard.keys())
                 for i in range(0, len(keys), 512):
                     part = keys[i : i + 512]
-                    rows = [(key, first + at, ids) for key, found in zip(part.tolist(), shard.get(part), strict=True) for at, ids in found]
+                    # Null shares the slot of the least key, and its documents come first.
+                    rows = [
+                        (None if key == _NULL and k < nulls else key, first + at, ids)
+                        for key, found in zip(part.tolist(), shard.get(part), strict=True)
+                        for k, (at, ids) in enumerate(found)
+                    ]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([None if k == _NULL else k for k, _, _ in rows], pa.int64()),
+                            pa.array([k for k, _, _ in rows], pa.int64()),
                             pa.array([at for _, at, _ in rows], pa.int64()),
                             pa.array([len(x) for _, _, x in rows], pa.int64()),
                             pa.array([x.astype("<u4").tobytes() for _, _, x in rows], pa.binary()),
@@ -204,6 +214,6 @@ def read_shards(manifest: DataFrame, width: int = 2) -> DataFrame:
                 shard.close()
 
     shards = max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4)
-    return manifest.select("base", "first_id", "shard").repartition(shards, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.select("base", "first_id", "n_null", "shard").repartition(shards, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 

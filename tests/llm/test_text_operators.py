@@ -161,9 +161,10 @@ def test_measures_equal_brute_force(spark) -> None:
 
 
 def test_the_bound_is_exact() -> None:
-    for lost, good, delta in ((0, 100, 0.05), (3, 200, 0.01), (10, 50, 0.001)):
+    for lost, good, delta in ((0, 100, 0.05), (3, 200, 0.01), (10, 50, 0.001), (0, 1, 0.5), (40, 45, 0.01), (700, 9000, 0.0005)):
         p = quality_rules.upper_bound(lost, good, delta)
-        assert sum(math.comb(good, k) * p**k * (1 - p) ** (good - k) for k in range(lost + 1)) == pytest.approx(delta, rel=1e-6)
+        logs = (math.lgamma(good + 1) - math.lgamma(k + 1) - math.lgamma(good - k + 1) + k * math.log(p) + (good - k) * math.log1p(-p) for k in range(lost + 1))
+        assert sum(map(math.exp, logs)) == pytest.approx(delta, rel=1e-6)
     assert quality_rules.upper_bound(5, 5, 0.05) == 1.0
 
 
@@ -185,16 +186,82 @@ def quality_corpus(spark, n=6000):
 
 def test_cutoffs_keep_good_documents_and_reject_bad_ones(spark) -> None:
     docs, labels = quality_corpus(spark)
-    rated = quality_rules.assess(docs, labels, risk=0.05)
+    rated = quality_rules.assess(docs, labels)
     assert rated.where("doc_id % 5 <> 0 AND NOT kept").count() == 0
     assert rated.where("doc_id % 5 = 0 AND kept").count() == 0
-    kept = quality_rules.drop_rejected(docs, labels, risk=0.05)
+    kept = quality_rules.drop_rejected(docs, labels)
     assert kept.columns == docs.columns and kept.count() == rated.where("kept").count()
 
 
+def brute_kept(rows, labels, risk=0.02, delta=0.05, weight=4.0, last_lift=1.25, least_good=200, max_strata=1000):
+    """Verdicts from loops over documents, with the binomial tail summed term by term; ``rows``: id, language, counts."""
+    share = lambda x, y: x / max(y, 1)
+    failed = lambda m: m[0] < 20 or 100 * m[4] > 30 * m[0]
+    bins = lambda m: [math.ceil(100 * x) for x in (min(share(m[2], m[0]), 1), share(m[4], m[0]), share(m[3], m[5]), share(m[7], m[6]), min(share(m[1], m[0]) / 50, 1))]
+    marks = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            marks.setdefault(i, []).append(q == 1)
+    seen = [(lang, bins(m), good) for i, lang, m in rows if not failed(m) for good in marks.get(i, [None])]
+    goods = Counter(lang for lang, _, g in seen if g)
+    own = sorted((x for x in goods if goods[x] >= least_good), key=lambda x: (-goods[x], x is not None, x or ""))[:max_strata]
+    group = lambda lang: own.index(lang) if lang in own else -1
+    tested = max(1, len({group(lang) for lang, _, g in seen if g}))
+    cutoffs = {}
+    for g in [*range(len(own)), -1]:
+        mine = [x for x in seen if group(x[0]) == g]
+        free, bad, good = ([b for _, b, m in mine if m is want] for want in (None, False, True))
+        now, best = [100] * 5, (0.0, [100] * 5)
+        tails = [[(sum(x[r] > cut for x in free), sum(x[r] > cut for x in bad)) for cut in range(100)] for r in range(5)]
+        for step in range(1000):
+            lift = 100.0 * (last_lift / 100.0) ** (step / 999)
+            before = list(now)
+            for r in range(5):
+                for cut in range(now[r]):
+                    u, b = tails[r][cut]
+                    if b and b * max(len(free), 1) >= lift * u * max(len(bad), 1):
+                        now[r] = cut
+                        break
+            if step and before == now:
+                continue
+            lost = sum(any(x[r] > now[r] for r in range(5)) for x in good)
+            # A bound above the risk: so few rejections would be likelier than the level if the true share were the risk.
+            likely = sum(math.comb(len(good), k) * risk**k * (1 - risk) ** (len(good) - k) for k in range(lost + 1))
+            if not good or lost >= len(good) or likely > delta / tested:
+                break
+            gain = sum(any(x[r] > now[r] for r in range(5)) for x in bad) - weight * lost
+            if gain > best[0]:
+                best = (gain, list(now))
+        cutoffs[g] = best[1]
+    return {i: not failed(m) and not any(b > k for b, k in zip(bins(m), cutoffs[group(lang)], strict=True)) for i, lang, m in rows}, cutoffs
+
+
+@pytest.mark.parametrize("most", [1000, 1])
+def test_verdicts_equal_brute_force(spark, most) -> None:
+    rnd = random.Random(17)
+    rows, labels = [], []
+    for i in range(2400):
+        lang = rnd.choice(["en", "en", "de", None, "", "rare", "few"] if i % 3 else ["en"])
+        bad = rnd.random() < 0.3
+        w = [rnd.choice(["alpha", "beta", "Gamma", "delta", "EPSILON"]) + str(rnd.randrange(50)) for _ in range(rnd.choice([10, 30, 60]))]
+        if bad:
+            w = [x + rnd.choice(["###", "", "|"]) for x in w] if rnd.random() < 0.6 else [x.upper() for x in w]
+        rows.append((i, " ".join(w) + ("\nsame line\nsame line" if rnd.random() < 0.1 else ""), lang, "s", 1, 1.0))
+        if rnd.random() < 0.75:
+            labels.append((i, 0 if bad else 1, 0))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    marks = spark.createDataFrame([*labels, labels[0], (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    measured = [(i, lang, quality_rules.measure(t)) for i, t, lang, *_ in rows]
+    want, cutoffs = brute_kept(measured, [*labels, labels[0]], max_strata=most)
+    assert sum(x != [100] * 5 for x in cutoffs.values()) >= min(most, 2)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.assess(docs, marks, max_strata=most).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in quality_rules.drop_rejected(docs, marks, max_strata=most).select("doc_id").collect()} == {i for i, k in want.items() if k}
+
+
 def test_rules_without_labels_set_no_cutoff(spark) -> None:
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality_rules.calibrate(quality_rules.features(frame(spark, ODD)), none) == {}
+    assert quality_rules.calibrate(quality_rules.features(frame(spark, ODD)), none) == quality_rules.Cutoffs({}, {})
     assert quality_rules.assess(spark.createDataFrame([], DOCS), none).count() == 0
 
 
@@ -218,6 +285,65 @@ def test_sparse_sites_shrink_to_what_is_above(spark) -> None:
     assert shift["big"] < 0 < shift["new"] < shift["bad"]
 
 
+def brute_shifts(evidence, labels):
+    """Shifts of each site by loops, from the formulas of the module's docstring."""
+    known = {}
+    for i, q, t in labels:
+        if None not in (i, q, t):
+            low, toxic = known.get(i, (0, 0))
+            known[i] = (max(low, int(q != 1)), max(toxic, int(t == 1)))
+    sums = {}
+    for i, host, path, *logits in evidence:
+        for level in ((host,), (host, path)):
+            s = sums.setdefault(level, [0, 0.0, 0.0])
+            s[0] += 1
+            for k in range(2):
+                s[1 + k] += known[i][k] if i in known else 1 / (1 + math.exp(-logits[k]))
+    clip, logit = lambda p: min(max(p, 1e-4), 1 - 1e-4), lambda p: math.log(p / (1 - p))
+    out = {x: [] for x in sums if len(x) == 2}
+    for k in (1, 2):
+        rate, strength = clip(sum(s[k] for x, s in sums.items() if len(x) == 1) / len(evidence)), {}
+        for level in (1, 2):
+            sites = [s for x, s in sums.items() if len(x) == level]
+            n = sum(s[0] for s in sites)
+            between = max(sum(s[0] * (s[k] / s[0] - rate) ** 2 for s in sites) / n - rate * (1 - rate) * len(sites) / n, 1e-6)
+            strength[level] = 50.0 if len(sites) < 2 else min(max(rate * (1 - rate) / between - 1, 2.0), 1e4)
+        for x, shifts in out.items():
+            h, p = sums[x[:1]], sums[x]
+            host = (h[k] + strength[1] * rate) / (h[0] + strength[1])
+            shifts.append(logit(clip((p[k] + strength[2] * host) / (p[0] + strength[2]))) - logit(rate))
+    return out
+
+
+def test_sites_turn_verdicts_as_brute_force_does(spark) -> None:
+    rnd = random.Random(23)
+    rows, labels = [], []
+    rates = {("good", "x"): 0.05, ("good", None): 0.1, ("", "x"): 0.9, (None, "x"): 0.2, ("bad", "x"): 0.85, ("bad", "y"): 0.6, ("new", "y"): 0.5}
+    sites = list(rates)
+    for i in range(1500):
+        site = rnd.choice(sites[:-1]) if i else sites[-1]
+        bad = rnd.random() < rates[site]
+        w = [rnd.choice("alpha beta gamma delta".split()) + str(rnd.randrange(90)) for _ in range(40)]
+        mark = "##" if bad and rnd.random() < 0.5 else ""
+        rows.append((i, " ".join(x + mark * (k % 3 == 0) for k, x in enumerate(w)), site[1], site[0], 1, 1.0))
+        if rnd.random() < 0.6:
+            labels.append((i, int(not bad), int(rnd.random() < 0.02)))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    marks = spark.createDataFrame([*labels, (labels[0][0], 0, 1), (3, None, 1)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(docs, marks)
+    evidence = [(i, s, p, *model.logits(t)) for i, t, p, s, *_ in rows]
+    shifts = brute_shifts(evidence, [*labels, (labels[0][0], 0, 1)])
+    score = {i: math.prod(1 - 1 / (1 + math.exp(-(z + d))) for z, d in zip(zs, shifts[s, p], strict=True)) for i, s, p, *zs in evidence}
+    turned = sum((score[i] >= 0.5) != (math.prod(1 - 1 / (1 + math.exp(-z)) for z in zs) >= 0.5) for i, _, _, *zs in evidence)
+    assert turned > 50
+    for limit in (100_000, 0):
+        got = {r["doc_id"]: r for r in quality_classifier.classify(docs, marks, broadcast_sites=limit).collect()}
+        assert {i: r["score"] for i, r in got.items()} == pytest.approx(score, abs=1e-9)
+        assert {i: r["kept"] for i, r in got.items()} == {i: x >= 0.5 for i, x in score.items()}
+        kept = quality_classifier.drop_rejected(docs, marks, broadcast_sites=limit)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in score.items() if x >= 0.5}
+
+
 def test_classifier_handles_odd_rows(spark) -> None:
     docs, labels = frame(spark, ODD, ids=[*range(len(ODD) - 2), None, 1]), spark.createDataFrame([(0, 1, 0), (1, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality_classifier.classify(docs, labels).count() == len(ODD)
