@@ -2,7 +2,7 @@
 
 Two findings are joined. Phrases: every place where a phrase's words stand consecutively. Templates: an exact
 set-similarity join of text blocks with license templates that finds every block holding at least ``threshold`` of a
-template's distinct words. Blocks are the lines; for notices wrapped over lines there are also runs, which cross line
+template's distinct words. Blocks are the lines of up to ``LONGEST_LINE`` words; for notices wrapped over lines and for longer lines there are also runs, which cross line
 breaks: each word counts that stands within ``slack`` places of its own in the template, laid at any word of the
 text, and ``slack`` is how many words may be missing. Template words are ordered by their frequency over the whole
 corpus, rarest first. A block and a template can only meet the threshold if they share a word in the first
@@ -27,19 +27,31 @@ from .common import ascii_lower
 from .decontamination import SEPARATORS, words_of
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Short notices as they stand in texts; the label of each is the method's own.
+#: Fixed wording of license notices; the label of each is the method's own. A name that may be missing at the threshold decides no label.
 TEMPLATES = {
-    "licensed under the apache license version 2 0": "apache-notice",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-notice",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-text",
+    "unless required by applicable law or agreed to in writing software distributed under the license": "apache-text",
     "this work is licensed under the gnu general public license version 3": "gpl-notice",
-    "released under the mit license": "mit-notice",
+    "this program is free software you can redistribute it and or modify it under the terms of": "gpl-text",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-text",
+    "you should have received a copy of the gnu general public license along with this program if not see": "gpl-text",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-notice",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-text",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-text",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software": "mit-text",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-text",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-text",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-text",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-text",
-    "this program is free software you can redistribute it and or modify it under the terms of": "gpl-text",
-    "unless required by applicable law or agreed to in writing software distributed under the license": "apache-text",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-text",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-text",
     "this source code form is subject to the terms of the mozilla public license": "mpl-text",
+    "this is free and unencumbered software released into the public domain": "public-domain",
     "all rights reserved": "reserved",
 }
+#: A line of more words is no block of its own: words far apart say nothing together.
+LONGEST_LINE = 128
 
 
 def _lit_array(values: list[str]) -> Column:
@@ -90,14 +102,15 @@ def template_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thre
     able = _keyed(docs).where(F.arrays_overlap(words_of(F.col("text")), _lit_array(rare)))
     lines = able.select("doc_id", "text_hash", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("block", "line"))
     own = F.filter(F.array_distinct(F.split("line", SEPARATORS)), lambda w: w.isin(vocabulary))
-    blocks = lines.select("doc_id", "text_hash", "block", F.array_sort(F.transform(own, lambda w: ranks[w])).alias("r")).where(F.size("r") >= least)
+    short = F.size(F.array_remove(F.split("line", SEPARATORS), "")) <= LONGEST_LINE
+    blocks = lines.where(short).select("doc_id", "text_hash", "block", F.array_sort(F.transform(own, lambda w: ranks[w])).alias("r")).where(F.size("r") >= least)
     rows = [(k, label, t, needed, pos, token) for k, t, needed, label in index for pos, token in enumerate(t[: len(t) - needed + 1])]
     prefix = F.broadcast(spark.createDataFrame(rows, "template int, label string, t array<int>, needed int, t_pos int, token int"))
     met = blocks.select("*", F.posexplode("r").alias("r_pos", "token")).join(prefix, "token")
     enough = (F.size("r") >= F.col("needed")) & (F.col("r_pos") <= F.size("r") - F.col("needed")) & (F.least(F.size("t") - F.col("t_pos"), F.size("r") - F.col("r_pos")) >= F.col("needed"))
     shared = F.size(F.array_intersect("r", "t"))
     whole = met.where(enough).withColumn("shared", shared).select("doc_id", "text_hash", "block", "label", "t", "needed", "shared")
-    runs = _runs(able.where(F.contains("text", F.lit("\n"))), templates, rank, index).withColumn("block", F.lit(None).cast("int"))
+    runs = _runs(able.where(F.contains("text", F.lit("\n")) | (F.size(words_of(F.col("text"))) > LONGEST_LINE)), templates, rank, index).withColumn("block", F.lit(None).cast("int"))
     return (
         whole.unionByName(runs)
         .where(F.col("shared") >= F.col("needed"))
