@@ -4,8 +4,10 @@ A document's cost is ``linear * tokens + quadratic * tokens ** 2`` (projections,
 document). Whole runs of ``capacity`` tokens fill sequences of their own. What is left of each document goes,
 longest first, to the sequence of lowest cost that still has room for it; if none has room for all of it,
 it is cut: the sequence of lowest cost with any room takes what fits, then the next. Sequences are balanced
-within groups of rows that a hash deals out, each of about ``group_tokens`` tokens, so no task sees more
-than that, and each group leaves less than one sequence of padding.
+within groups of rows that a task reads one after another, each of about ``group_tokens`` tokens (and one document),
+as they are encoded: nothing is shuffled or written before, no task holds more than one group, and each group leaves less than one sequence of padding.
+
+Sequences are numbered by task and within it, so a task that runs again gives the same numbers.
 
 Defined results: a null or empty text holds the end id alone; equal documents are packed one by one, also
 with equal ids; ties in cost go to the lower sequence, ties in length to the earlier row; an empty table
@@ -17,12 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, slices
+from .common import prepare, slices
 from .tokens import Encoder, default_tokenizer
 
 
@@ -63,50 +65,85 @@ def balance(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return pieces
 
 
-def pack(
-    encoded: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1.0 / 2048, group_tokens: int = 2048 * 512
+_PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+
+
+def _packed(keys: pa.Array, ids: list[bytes], capacity: int, linear: float, quadratic: float, first: int) -> tuple[list[pa.Array], int]:
+    """The columns of a group's pieces, and how many sequences they fill from ``first`` on."""
+    n = np.array([len(x) // 4 for x in ids], np.int64)
+    rest = n % capacity
+    order = np.argsort(-rest, kind="stable")
+    own = balance(rest[order], capacity, linear, quadratic)
+    used = 1 + max((p[2] for x in own for p in x), default=-1)
+    pieces: list[list[tuple[int, int, int, int]]] = [[] for _ in ids]
+    for row, parts in zip(order.tolist(), own, strict=True):
+        at = int(n[row] - rest[row])
+        pieces[row] = [(start + at, length, sequence, offset) for start, length, sequence, offset in parts]
+    for row, whole in enumerate((n // capacity).tolist()):
+        pieces[row] = [(k * capacity, capacity, used + k, 0) for k in range(whole)] + pieces[row]
+        used += whole
+    flat = [(row, *p) for row, parts in enumerate(pieces) for p in parts]
+    column = lambda k: pa.array([x[k] for x in flat], pa.int64())
+    cut_ids = pa.array([ids[row][4 * start : 4 * (start + length)] for row, start, length, _, _ in flat], pa.binary())
+    sequences = pa.array([first + x[3] for x in flat], pa.int64())
+    return [keys.take(column(0)), column(1), column(2), cut_ids, pa.array(n[[x[0] for x in flat]], pa.int64()), sequences, column(4)], used
+
+
+def _in_groups(rows: Iterator[tuple[pa.Array, list[bytes]]], capacity: int, linear: float, quadratic: float, group_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Pack encoded rows group by group."""
+    keys, ids, tokens, first = [], [], 0, TaskContext.get().partitionId() << 40
+    names = ["doc_id", *(x.split()[0] for x in _PIECES.split(", "))]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal keys, ids, tokens, first
+        columns, used = _packed(pa.concat_arrays(keys), ids, capacity, linear, quadratic, first)
+        keys, ids, tokens, first = [], [], 0, first + used
+        yield from slices(iter([pa.RecordBatch.from_arrays(columns, names)]), 4096)
+
+    for key, found in rows:
+        begin = 0
+        for k, x in enumerate(found):
+            ids.append(x)
+            tokens += len(x) // 4
+            if tokens >= group_tokens:
+                keys.append(key.slice(begin, k + 1 - begin))
+                begin = k + 1
+                yield from flush()
+        keys.append(key.slice(begin))
+    if ids:
+        yield from flush()
+
+
+def pack(encoded: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1.0 / 2048, group_tokens: int = 2048 * 512) -> DataFrame:
+    """Pack ``encode_documents`` rows: a row ``doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset`` for each piece."""
+    prepare(encoded.sparkSession)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b.column(0), b.column(1).to_pylist()) for b in slices(batches))
+        return _in_groups(rows, capacity, linear, quadratic, group_tokens)
+
+    return encoded.select("doc_id", "ids").mapInArrow(of, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, {_PIECES}")
+
+
+def pack_documents(
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    end_id: int = 1,
+    key: str = "doc_id",
+    text: str = "text",
+    capacity: int = 2048,
+    linear: float = 1.0,
+    quadratic: float = 1.0 / 2048,
+    group_tokens: int = 2048 * 512,
 ) -> DataFrame:
-    """Pack ``encode_documents`` rows: a row for each piece, with its ids.
-
-    Returns ``doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset``. The ids are written to
-    the shared folder once; lengths alone are dealt out and balanced, then meet the ids again by row.
-    """
-    rows = cut(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
-    total = rows.agg(F.sum(F.col("n") % capacity)).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
-
-    def of_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(rest=rows["n"] % capacity).sort_values(["rest", "row"], ascending=[False, True])
-        own = balance(rows["rest"].to_numpy(), capacity, linear, quadratic)
-        first = 1 + max((p[2] for x in own for p in x), default=-1)
-        full = (rows["n"] // capacity).to_numpy()
-        before = first + np.cumsum(full) - full
-        group = int(key[0])
-        at = full * capacity
-        return pd.DataFrame(
-            {
-                "row": rows["row"].to_numpy(),
-                "full": full,
-                "first": before,
-                "group": group,
-                "starts": [[int(a) + p[0] for p in x] for a, x in zip(at, own, strict=True)],
-                "lengths": [[p[1] for p in x] for x in own],
-                "sequences": [[p[2] for p in x] for x in own],
-                "offsets": [[p[3] for p in x] for x in own],
-            }
-        )
-
-    plan = (
-        rows.select("row", "n", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))
-        .groupBy("group")
-        .applyInPandas(of_group, "row long, full long, first long, group long, starts array<long>, lengths array<long>, sequences array<long>, offsets array<long>")
-    )
-    piece = "named_struct('start', {}, 'length', {}, 'sequence_id', ({}) * {} + group, 'offset', {})"
-    whole = "transform(if(full > 0, sequence(0L, full - 1), array()), i -> " + piece.format(f"i * {capacity}", f"{capacity}L", "first + i", groups, "0L") + ")"
-    rest = "transform(arrays_zip(starts, lengths, sequences, offsets), p -> " + piece.format("p.starts", "p.lengths", "p.sequences", groups, "p.offsets") + ")"
-    pieces = f"transform(concat({whole}, {rest}), p -> named_struct('p', p, 'ids', substring(ids, cast(4 * p.start + 1 as int), cast(4 * p.length as int))))"
-    return (
-        rows.join(plan, "row")
-        .select("doc_id", F.col("n").alias("doc_tokens"), F.explode(F.expr(pieces)).alias("x"))
-        .select("doc_id", "x.p.start", "x.p.length", "x.ids", "doc_tokens", "x.p.sequence_id", "x.p.offset")
-    )
+    """Encode and pack in one pass: the rows of ``pack(encode_documents(docs))``."""
+    prepare(docs.sparkSession)
+    path, end = tokenizer or default_tokenizer(), int(end_id).to_bytes(4, "little")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(path)
+        rows = ((b.column(0), [x + end for x in encoder.encode([t or "" for t in b.column(1).to_pylist()])]) for b in slices(batches))
+        return _in_groups(rows, capacity, linear, quadratic, group_tokens)
+
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(of, f"doc_id {docs.schema[key].dataType.simpleString()}, {_PIECES}")

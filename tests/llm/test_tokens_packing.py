@@ -59,8 +59,17 @@ def test_packing_covers_every_id_once(spark, truth, capacity) -> None:
         own.sort()
         assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist() and sum(n for _, n in own) <= capacity
     total = sum(p["length"] for p in pieces)
-    groups = -(-total // (capacity * 8))
-    assert len(sequences) * capacity - total <= (groups + 1) * capacity
+    groups = -(-total // (capacity * 8)) + len({p["sequence_id"] >> 40 for p in pieces})
+    assert len(sequences) * capacity - total <= groups * capacity
+
+
+def test_one_pass_packs_as_two(spark) -> None:
+    docs = rows(spark).repartition(2)
+    one = packing.pack_documents(docs, end_id=1, capacity=32, group_tokens=200)
+    two = packing.pack(packing.encode_documents(docs, end_id=1), capacity=32, group_tokens=200)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) and "Exchange" not in one._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    odd = docs.selectExpr("doc_id AS sequence_id", "text AS ids", "7 AS offset")
+    assert packing.pack_documents(odd, key="sequence_id", text="ids").count() >= docs.count()
 
 
 def test_the_lowest_cost_takes_the_next(spark) -> None:
@@ -94,6 +103,13 @@ def test_shards_round_trip(spark, truth) -> None:
     assert sorted(((g["doc_id"], g["start"], g["n_tokens"], bytes(g["ids"])) for g in got), key=lambda x: x[1]) == expected
 
 
+def test_the_least_key_is_not_null(spark) -> None:
+    docs = spark.createDataFrame([(-(2**63), "least", "a", 1), (None, "none", "b", 2), (None, None, "c", 3), (-(2**63), "more", "d", 4)], "doc_id long, text string, base string, n_tokens int")
+    for per in (1, 2, 100):
+        got = tokenfile.read_shards(tokenfile.write_shards(docs, docs_per_shard=per)).orderBy("start").collect()
+        assert [r["doc_id"] for r in got] == [None, None, -(2**63), -(2**63)] and len({bytes(r["ids"]) for r in got}) == 4
+
+
 def test_a_key_that_is_absent_is_not_found(spark) -> None:
     base = tokenfile.write_shards(spark.createDataFrame([(1, "x", 0), (9, "y z", 0)], DOCS), docs_per_shard=10).first()["base"]
     shard = tokenfile.Shard(base, 2)
