@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.pack(packing.encode_documents(docs, end_id=1), capacity=2048)
+    pieces = packing.pack_documents(docs, end_id=1, capacity=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -106,5 +106,97 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_jaccard_join": op2_jaccard_join, "op3_licenses": op3_licenses, "op4_html_extraction": op4_html_extraction, "op5_language_model": op5_language_model, "op6_token_shards": op6_token_shards, "op7_quality_classifier": op7_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
-ORACLE_SQL: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL}
+_TOKENS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+OP2_SQL = rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_TOKENS_SQL} AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) m ON m.id = d.doc_id
+"""
+
+
+# Parts of results that SQL can express, through the same operators
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of the license scan."""
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _phrase_sql(phrase: str, label: str) -> str:
+    parts = phrase.split()
+    return f"list_transform(list_filter(range(1, len(w) - {len(parts) - 2}), lambda i: w[i:i + {len(parts) - 1}] = {parts}), lambda i: {{'at': i - 1, 'label': '{label}'}})"
+
+
+BASE_LICENSES_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, {" || ".join(_phrase_sql(p, x) for p, x in licenses.PHRASES.items())} AS p FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word,
+  list_max(list_transform(p, lambda x: x.at)) AS last_word, array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels
+FROM p
+"""
+
+
+def base_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base scores of a model of words, trained on every document."""
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs, order=1)).select("doc_id", "n_tokens", "n_known", F.round("base_score", 3).alias("base_score"))
+
+
+BASE_LANGUAGE_MODEL_SQL = rf"""
+WITH t AS MATERIALIZED (SELECT doc_id, unnest(list_append({_TOKENS_SQL}, ' ')) AS t FROM documents),
+c AS MATERIALIZED (SELECT t, count(*) AS c FROM t GROUP BY 1),
+s AS (SELECT count(*) AS v, sum(c) AS n FROM c)
+SELECT doc_id, count(*) AS n_tokens, count(*) AS n_known, round(sum(log10((c + 1) / CAST(n + v + 1 AS DOUBLE))), 3) AS base_score
+FROM t JOIN c USING (t), s GROUP BY doc_id
+"""
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of the quality rules and the fixed limits."""
+    return op8_quality_rules(spark, sf_dir).drop("kept")
+
+
+BASE_QUALITY_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed
+FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_jaccard_join,
+        op3_licenses,
+        op4_html_extraction,
+        op5_language_model,
+        op6_token_shards,
+        op7_quality_classifier,
+        op8_quality_rules,
+        op9_decontamination,
+        op10_warc,
+        base_licenses,
+        base_language_model,
+        base_quality,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": OP2_SQL,
+    "op9_decontamination": OP9_SQL,
+    "op10_warc": OP10_SQL,
+    "base_licenses": BASE_LICENSES_SQL,
+    "base_language_model": BASE_LANGUAGE_MODEL_SQL,
+    "base_quality": BASE_QUALITY_SQL,
+}
