@@ -13,26 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringview.llm import decontamination, jaccard, packing, quality_classifier, quality_rules
-from ringview.llm.common import cut, prepare, table
+from ringview.llm.common import cut, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that fail the limits or a risk-controlled cutoff go."""
-    prepare(spark)
     return quality_rules.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that are likely of low quality or toxic go."""
-    prepare(spark)
     return quality_classifier.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of linked documents, that with the smallest id stays."""
-    prepare(spark)
     return jaccard.drop_duplicates(docs)
 
 
@@ -43,8 +40,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: pieces of sequences of 2048 tokens."""
-    prepare(spark)
-    pieces = packing.pack(packing.encode_documents(docs, end_id=1), capacity=2048)
+    pieces = packing.pack_documents(docs, end_id=1, capacity=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
