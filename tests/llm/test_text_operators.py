@@ -298,6 +298,10 @@ def test_sparse_sites_shrink_to_what_is_above(spark) -> None:
     assert shift["big"] < 0 < shift["new"] < shift["bad"]
 
 
+def sigmoid(z):
+    return 0.5 * (1 + math.tanh(z / 2))
+
+
 def brute_shifts(evidence, labels):
     """Shifts of each site by loops, from the formulas of the module's docstring."""
     known = {}
@@ -311,7 +315,7 @@ def brute_shifts(evidence, labels):
             s = sums.setdefault(level, [0, 0.0, 0.0])
             s[0] += 1
             for k in range(2):
-                s[1 + k] += known[i][k] if i in known else 1 / (1 + math.exp(-logits[k]))
+                s[1 + k] += known[i][k] if i in known else sigmoid(logits[k])
     clip, logit = lambda p: min(max(p, 1e-4), 1 - 1e-4), lambda p: math.log(p / (1 - p))
     out = {x: [] for x in sums if len(x) == 2}
     for k in (1, 2):
@@ -346,8 +350,8 @@ def test_sites_turn_verdicts_as_brute_force_does(spark) -> None:
     model = quality_classifier.fit(docs, marks)
     evidence = [(i, s, p, *model.logits(t)) for i, t, p, s, *_ in rows]
     shifts = brute_shifts(evidence, [*labels, (labels[0][0], 0, 1)])
-    score = {i: math.prod(1 - 1 / (1 + math.exp(-(z + d))) for z, d in zip(zs, shifts[s, p], strict=True)) for i, s, p, *zs in evidence}
-    turned = sum((score[i] >= 0.5) != (math.prod(1 - 1 / (1 + math.exp(-z)) for z in zs) >= 0.5) for i, _, _, *zs in evidence)
+    score = {i: math.prod(1 - sigmoid(z + d) for z, d in zip(zs, shifts[s, p], strict=True)) for i, s, p, *zs in evidence}
+    turned = sum((score[i] >= 0.5) != (math.prod(1 - sigmoid(z) for z in zs) >= 0.5) for i, _, _, *zs in evidence)
     assert turned > 50
     for limit in (100_000, 0):
         got = {r["doc_id"]: r for r in quality_classifier.classify(docs, marks, broadcast_sites=limit).collect()}
