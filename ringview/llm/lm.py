@@ -285,7 +285,7 @@ def train(docs: DataFrame, order: int = 3, min_count: int = 1, discount: float =
         counts = rows["n"].to_numpy()[order_]
         EliasFano.build(hashes[order_]).save(files.put, "words")
         codes, values = quantise(np.log10((counts + 1) / (tokens + vocabulary + 1)))
-        for name, x in (("counts", counts), ("codes", codes), ("values", values)):
+        for name, x in (("counts", counts.astype(np.min_scalar_type(counts.max(initial=0)))), ("codes", codes), ("values", values)):
             files.put(name, x)
         return pd.DataFrame({"shard": [int(key[0])], "base": [base], "n": [len(counts)], **_cut_row(counts, group_tokens)})
 
