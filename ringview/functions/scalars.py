@@ -84,8 +84,26 @@ def concat(*xs: ColumnOrName) -> Column:
     return F.concat(*map(_c, xs))
 
 
-def regex_match(pattern: str, s: ColumnOrName) -> Column:
+def from_escaped_operators(pattern: str) -> str:
+    """A pattern in which groups and alternatives are written ``\\(``, ``\\)`` and ``\\|``, and the bare characters (and braces) stand for themselves."""
+    out, k = [], 0
+    while k < len(pattern):
+        x, after = pattern[k], pattern[k + 1 : k + 2]
+        if x == "\\" and after in ("(", ")", "|"):
+            out.append(after)
+            k += 1
+        elif x == "\\" and after:
+            out.append(x + after)
+            k += 1
+        else:
+            out.append(f"\\{x}" if x in "(){}|" else x)
+        k += 1
+    return "".join(out)
+
+
+def regex_match(pattern: str, s: ColumnOrName, escaped_operators: bool = False) -> Column:
     """1 if the pattern matches at the start, else 0."""
+    pattern = from_escaped_operators(pattern) if escaped_operators else pattern
     return F.coalesce(_c(s).rlike(f"^(?:{pattern})").cast("int"), F.lit(0))
 
 

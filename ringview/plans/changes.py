@@ -82,7 +82,10 @@ def coll_delete_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.lit("taken").alias("part"), "pos", "value").unionByName(left.select(F.lit("left").alias("part"), "pos", "value"))
 
 
-@_query(_V + "SELECT 'taken' AS part, pos, value FROM v WHERE pos = 3 UNION ALL SELECT 'left', pos, CASE WHEN pos = 3 THEN -1 ELSE value END FROM v")
+@_query(_V + """
+    SELECT 'taken' AS part, pos, value FROM v WHERE pos = 3
+    UNION ALL SELECT 'left', pos, CASE WHEN pos = 3 THEN -1 ELSE value END FROM v
+    """)
 def coll_delete_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, left = K.delete_at(_vector(spark, sf_dir), 3, -1)
     return taken.select(F.lit("taken").alias("part"), "pos", "value").unionByName(left.select(F.lit("left").alias("part"), "pos", "value"))
@@ -236,14 +239,20 @@ def scalar_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("SELECT CAST(9007199254740993 + event_id AS BIGINT) AS big, CAST((9007199254740993 + event_id) // 3 AS BIGINT) AS third, CAST(-event_id // 1 AS BIGINT) AS below FROM events")
+@_query("""
+    SELECT CAST(9007199254740993 + event_id AS BIGINT) AS big, CAST((9007199254740993 + event_id) // 3 AS BIGINT) AS third, CAST(-event_id // 1 AS BIGINT) AS below
+    FROM events
+    """)
 def scalar_divide_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = load(spark, sf_dir, "events")
     big = F.lit(9007199254740993) + c("event_id")
     return events.select(big.alias("big"), S.divide_int(big, 3).alias("third"), S.divide_int(-c("event_id"), 1).alias("below"))
 
 
-@_query("SELECT event_id, CAST(event_id * 2 + 1 AS BIGINT) AS a, CAST(event_id + user_id AS BIGINT) AS b, round(CAST(event_id AS DOUBLE) / 4, 6) AS q FROM events")
+@_query("""
+    SELECT event_id, CAST(event_id * 2 + 1 AS BIGINT) AS a, CAST(event_id + user_id AS BIGINT) AS b, round(CAST(event_id AS DOUBLE) / 4, 6) AS q
+    FROM events
+    """)
 def scalar_user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions of a user's own, with types and one name for one and for two arguments."""
     (events,) = load(spark, sf_dir, "events")
@@ -254,3 +263,20 @@ def scalar_user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         return events.select(
             "event_id", S.call("mine", c("event_id")).alias("a"), S.call("mine", "event_id", "user_id").alias("b"), F.round(S.call("quarter", "event_id"), 6).alias("q")
         )
+
+
+@_query(
+    """
+    SELECT p_partkey AS k, CASE WHEN p_type LIKE 'S%' OR p_type LIKE 'E%' THEN 1 ELSE 0 END AS se,
+      CASE WHEN concat('(', p_brand, ')|x') LIKE '(Brand#1%' THEN 1 ELSE 0 END AS bare
+    FROM part
+    """
+)
+def scalar_regex_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns whose operators are escaped; bare parentheses and bars stand for themselves."""
+    (parts,) = load(spark, sf_dir, "part")
+    return parts.select(
+        c("p_partkey").alias("k"),
+        S.regex_match(r"\(S\|E\)", "p_type", escaped_operators=True).alias("se"),
+        S.regex_match(r"(Brand#1[0-9]*)|x$", F.concat(F.lit("("), c("p_brand"), F.lit(")|x")), escaped_operators=True).alias("bare"),
+    )

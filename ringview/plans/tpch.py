@@ -163,7 +163,10 @@ def _worth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplied(own).groupBy("ps_partkey").agg(F.sum(F.col("cost") * F.col("qty")).alias("w"))
 
 
-@_query(f"{_Q11} SELECT ps_partkey, round(sum(worth), 4) AS worth FROM o GROUP BY 1 HAVING sum(worth) > (SELECT coalesce(sum(worth), 0) * 0.001 FROM o)")
+@_query(f"""
+    {_Q11} SELECT ps_partkey, round(sum(worth), 4) AS worth FROM o
+    GROUP BY 1 HAVING sum(worth) > (SELECT coalesce(sum(worth), 0) * 0.001 FROM o)
+    """)
 def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_part = _worth(spark, sf_dir)
     limit = by_part.agg((F.coalesce(F.sum("w"), F.lit(0.0)) * 0.001).alias("least"))
@@ -184,7 +187,10 @@ def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return year.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("l_linestatus").agg(F.sum(F.when(urgent, 1).otherwise(0)).alias("high"), F.sum(F.when(~urgent, 1).otherwise(0)).alias("low"))
 
 
-@_query("SELECT c_count, count(*) AS n FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%LOW%' GROUP BY 1) GROUP BY 1")
+@_query("""
+    SELECT c_count, count(*) AS n FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer
+    JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%LOW%' GROUP BY 1) GROUP BY 1
+    """)
 def q13(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers, orders = load(spark, sf_dir, "customer", "orders")
     counts = orders.where("o_orderpriority NOT LIKE '%LOW%'").groupBy("o_custkey").agg(F.count("o_orderkey").alias("c_count"))

@@ -52,7 +52,10 @@ def calc_repeated_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Gmr.scan(r, [("a", "X"), ("b", "X")]).sum().frame()
 
 
-@_query(_WITH + "SELECT b AS \"B\", CAST(sum(v) AS BIGINT) AS value FROM (SELECT b, 1 AS v FROM r UNION ALL SELECT b, 1 FROM s UNION ALL SELECT b, -1 FROM s WHERE c > 5) GROUP BY b")
+@_query(_WITH + """
+    SELECT b AS "B", CAST(sum(v) AS BIGINT) AS value FROM (SELECT b, 1 AS v FROM r UNION ALL SELECT b, 1 FROM s
+    UNION ALL SELECT b, -1 FROM s WHERE c > 5) GROUP BY b
+    """)
 def calc_sum_and_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, s, _ = _gmrs(spark, sf_dir)
     return (r.sum(["B"]) + s.sum(["B"]) - s.where("C > 5").sum(["B"])).sum(["B"]).frame()
@@ -82,7 +85,10 @@ def calc_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("C > 7").sum(["B"]).absent(r).sum(["B"]).frame()
 
 
-@_query(_WITH + "SELECT b AS \"B\", CAST(sum(coalesce(m, 0)) AS BIGINT) AS value FROM r LEFT JOIN (SELECT b, sum(c) AS m FROM s WHERE c > 8 GROUP BY b) USING (b) GROUP BY b")
+@_query(_WITH + """
+    SELECT b AS "B", CAST(sum(coalesce(m, 0)) AS BIGINT) AS value FROM r LEFT JOIN (SELECT b, sum(c) AS m FROM s WHERE c > 8
+    GROUP BY b) USING (b) GROUP BY b
+    """)
 def calc_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, s, _ = _gmrs(spark, sf_dir)
     return r.look_up(s.where("C > 8").times(c("C")).sum(["B"])).sum(["B"]).frame()
@@ -94,7 +100,10 @@ def calc_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.times(c("C")).sum(["B"]).slice(r.where("A = 2")).frame()
 
 
-@_query(_WITH + "SELECT x AS \"X\", CAST((SELECT coalesce(sum(c), 0) FROM s WHERE c < x) AS BIGINT) AS value FROM (SELECT DISTINCT a AS x FROM r)")
+@_query(_WITH + """
+    SELECT x AS "X", CAST((SELECT coalesce(sum(c), 0) FROM s WHERE c < x) AS BIGINT) AS value FROM (SELECT DISTINCT a AS x
+    FROM r)
+    """)
 def calc_view_with_an_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view asked for with input values: sums by C first, then one running sum over the values of C and X."""
     r, s, _ = _gmrs(spark, sf_dir)
@@ -123,7 +132,10 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return orders.select(c("o_orderkey").alias("ok"), c("o_orderpriority").alias("pr")), lines.select(c("l_orderkey").alias("ok"), c("l_quantity").alias("q"), "l_returnflag")
 
 
-@_query("SELECT o_orderpriority AS \"P\", round(sum(l_quantity), 2) AS value, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R' GROUP BY 1")
+@_query("""
+    SELECT o_orderpriority AS "P", round(sum(l_quantity), 2) AS value, count(*) AS n FROM orders
+    JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R' GROUP BY 1
+    """)
 def view_after_inserts_and_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of each table first, then all the rest as inserts with the returned lines as deletes: old view and change add up to the definition."""
     orders, lines = _tables(spark, sf_dir)
@@ -153,7 +165,10 @@ def view_lift_after_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.after({"orders": old}, {"orders": new}).sum(["M"]).pruned().frame()
 
 
-@_query("SELECT o_orderpriority AS \"P\", round(sum(l_quantity), 2) AS value, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_returnflag <> 'R' GROUP BY 1")
+@_query("""
+    SELECT o_orderpriority AS "P", round(sum(l_quantity), 2) AS value, count(*) AS n FROM orders
+    JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_returnflag <> 'R' GROUP BY 1
+    """)
 def view_log_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A maintained view over change batches: all lines, then the finished orders, then the returned lines as deletes, then the other orders; read as of the third."""
     orders, lines = load(spark, sf_dir, "orders", "lineitem")
@@ -171,20 +186,29 @@ def view_log_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.log.as_of(3).select("P", F.round("__v", 2).alias("value"), c("__n").alias("n"))
 
 
-@_query("SELECT user_id, event_type, round(max_by(value, event_id), 4) AS value, max(event_id) AS vid FROM events WHERE event_id < 5000 GROUP BY 1, 2")
+@_query("""
+    SELECT user_id, event_type, round(max_by(value, event_id), 4) AS value, max(event_id) AS vid FROM events
+    WHERE event_id < 5000 GROUP BY 1, 2
+    """)
 def version_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = load(spark, sf_dir, "events")
     log = events.select("user_id", "event_type", c("event_id").alias("vid"), "value")
     return K.as_of(log, ["user_id", "event_type"], 5000).select("user_id", "event_type", F.round("value", 4).alias("value"), "vid")
 
 
-@_query("SELECT user_id, event_id AS vid FROM events e WHERE event_id > 5000 OR event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_id <= 5000)")
+@_query("""
+    SELECT user_id, event_id AS vid FROM events e WHERE event_id > 5000 OR event_id = (SELECT max(event_id) FROM events x
+    WHERE x.user_id = e.user_id AND x.event_id <= 5000)
+    """)
 def version_delete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = load(spark, sf_dir, "events")
     return K.delete_prefix(events.select("user_id", c("event_id").alias("vid")), ["user_id"], 5000)
 
 
-@_query("SELECT user_id, count(*) AS versions, round(sum(CASE WHEN event_id > 5000 AND user_id < 50 THEN 2 * value ELSE value END), 4) AS total FROM events GROUP BY 1")
+@_query("""
+    SELECT user_id, count(*) AS versions, round(sum(CASE WHEN event_id > 5000 AND user_id < 50 THEN 2 * value ELSE value END), 4) AS total
+    FROM events GROUP BY 1
+    """)
 def version_update_suffix_and_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = load(spark, sf_dir, "events")
     log = events.select("user_id", c("event_id").alias("vid"), "value")
@@ -192,7 +216,11 @@ def version_update_suffix_and_fold(spark: SparkSession, sf_dir: str) -> DataFram
     return K.fold_versions(changed, ["user_id"], versions=F.count("*"), total=F.round(F.sum("value"), 4))
 
 
-@_query("SELECT user_id, CAST(batch AS BIGINT) AS batch, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR p <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS batch FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)) GROUP BY 1, 2")
+@_query("""
+    SELECT user_id, CAST(batch AS BIGINT) AS batch, count(*) AS n
+    FROM (SELECT *, sum(CASE WHEN p IS NULL OR p <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS batch
+    FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)) GROUP BY 1, 2
+    """)
 def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = load(spark, sf_dir, "events")
     return W.runs(events, "event_id", ["event_type"], group=["user_id"]).groupBy("user_id", "batch").agg(F.count("*").alias("n"))
@@ -221,7 +249,10 @@ def coll_map_flatten_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.group_by(K.filter_rows(parts, ~c("k").like("0%")), ["k"], n=F.count("*"))
 
 
-@_query("SELECT s_nationkey AS k, CAST(count(*) AS BIGINT) AS n FROM supplier GROUP BY 1 UNION ALL SELECT n_nationkey, -1 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@_query("""
+    SELECT s_nationkey AS k, CAST(count(*) AS BIGINT) AS n FROM supplier GROUP BY 1 UNION ALL SELECT n_nationkey, -1
+    FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
+    """)
 def coll_combine_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations, suppliers = load(spark, sf_dir, "nation", "supplier")
     left = nations.select(c("n_nationkey").alias("k"), F.lit(-1).cast("long").alias("n"))
@@ -234,7 +265,11 @@ def coll_combine_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.combine(suppliers.select(c("s_nationkey").alias("k")), customers.select(c("c_nationkey").alias("k")), "set")
 
 
-@_query("SELECT user_id, event_id, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id <= 4000) WHERE k = 1")
+@_query("""
+    SELECT user_id, event_id, round(value, 4) AS value
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id <= 4000)
+    WHERE k = 1
+    """)
 def coll_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = load(spark, sf_dir, "events")
     return K.nearest(events.select("user_id", "event_id", "value"), "event_id", 4000, "leq", ["user_id"]).select("user_id", "event_id", F.round("value", 4).alias("value"))
@@ -258,13 +293,20 @@ def coll_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.members(orders.select(c("o_custkey").alias("c_custkey")), customers.select("c_custkey"), ["c_custkey"])
 
 
-@_query("SELECT b, c FROM (SELECT *, row_number() OVER (PARTITION BY b, c) AS k FROM (SELECT s_nationkey AS b, CAST(floor(s_acctbal / 1000) AS BIGINT) AS c FROM supplier)) WHERE NOT (b = 3 AND k = 1)")
+@_query("""
+    SELECT b, c FROM (SELECT *, row_number() OVER (PARTITION BY b, c) AS k
+    FROM (SELECT s_nationkey AS b, CAST(floor(s_acctbal / 1000) AS BIGINT) AS c FROM supplier)) WHERE NOT (b = 3 AND k = 1)
+    """)
 def coll_delete_one_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, s, _ = relations(spark, sf_dir)
     return K.delete(s, s.where("b = 3").distinct())
 
 
-@_query("SELECT k, CAST(CASE WHEN o IS NULL THEN n WHEN n IS NULL THEN o ELSE o + n END AS BIGINT) AS v FROM (SELECT s_nationkey AS k, count(*) AS o FROM supplier WHERE s_acctbal > 0 GROUP BY 1) FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1) USING (k)")
+@_query("""
+    SELECT k, CAST(CASE WHEN o IS NULL THEN n WHEN n IS NULL THEN o ELSE o + n END AS BIGINT) AS v
+    FROM (SELECT s_nationkey AS k, count(*) AS o FROM supplier WHERE s_acctbal > 0 GROUP BY 1) FULL
+    JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1) USING (k)
+    """)
 def coll_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers, customers = load(spark, sf_dir, "supplier", "customer")
     old = suppliers.where("s_acctbal > 0").groupBy(c("s_nationkey").alias("k")).agg(F.count("*").alias("v"))
@@ -329,14 +371,21 @@ def _volume_above(side: DataFrame) -> DataFrame:
     return running_sums(by_price, "price", ["v"], descending=True).select("price", c("before_v").alias("above"))
 
 
-@_query(_BOOK + "SELECT round(coalesce(sum(price * volume), 0), 2) AS value FROM bids b WHERE 0.25 * (SELECT coalesce(sum(volume), 0) FROM bids) > (SELECT coalesce(sum(x.volume), 0) FROM bids x WHERE x.price > b.price)")
+@_query(_BOOK + """
+    SELECT round(coalesce(sum(price * volume), 0), 2) AS value FROM bids b WHERE 0.25 * (SELECT coalesce(sum(volume), 0)
+    FROM bids) > (SELECT coalesce(sum(x.volume), 0) FROM bids x WHERE x.price > b.price)
+    """)
 def finance_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
     bids, _ = _book(spark, sf_dir)
     total = F.broadcast(bids.agg((0.25 * F.coalesce(F.sum("volume"), F.lit(0.0))).alias("quarter")))
     return bids.join(_volume_above(bids), "price").join(total).where("quarter > above").agg(F.round(F.coalesce(F.sum(c("price") * c("volume")), F.lit(0.0)), 2).alias("value"))
 
 
-@_query(_BOOK + "SELECT b.broker, round(sum(a.volume - b.volume), 2) AS value FROM bids b, asks a WHERE b.broker = a.broker AND abs(CAST(round(a.price * 100) AS BIGINT) - CAST(round(b.price * 100) AS BIGINT)) > 1000 GROUP BY 1")
+@_query(_BOOK + """
+    SELECT b.broker, round(sum(a.volume - b.volume), 2) AS value FROM bids b, asks a
+    WHERE b.broker = a.broker AND abs(CAST(round(a.price * 100) AS BIGINT) - CAST(round(b.price * 100) AS BIGINT)) > 1000
+    GROUP BY 1
+    """)
 def finance_ax_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one broker more than 10 apart: all pairs less those within 10, by sums over price levels in cents."""
     bids, asks = _book(spark, sf_dir)
@@ -351,7 +400,10 @@ def finance_ax_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return far.groupBy("broker").agg(F.sum(c("va") * c("nb") - c("vb") * c("na")).alias("v"), F.sum(c("na") * c("nb")).alias("k")).where("k > 0").select("broker", F.round("v", 2).alias("value"))
 
 
-@_query(_BOOK + "SELECT x.broker, round(sum(x.volume * x.price - y.volume * y.price), 2) AS value FROM bids x, bids y WHERE x.broker = y.broker AND x.price < y.price GROUP BY 1")
+@_query(_BOOK + """
+    SELECT x.broker, round(sum(x.volume * x.price - y.volume * y.price), 2) AS value FROM bids x, bids y
+    WHERE x.broker = y.broker AND x.price < y.price GROUP BY 1
+    """)
 def finance_broker_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one broker's bids by price: ranks and counts stand for the pairs."""
     bids, _ = _book(spark, sf_dir)
@@ -362,7 +414,10 @@ def finance_broker_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("broker").agg(F.sum(c("w") * c("higher") - c("w") * c("lower")).alias("v"), F.sum("higher").alias("k")).where("k > 0").select("broker", F.round("v", 2).alias("value"))
 
 
-@_query(_BOOK + "SELECT x.broker, round(sum(x.volume * x.price * y.volume * y.price * 0.5), 0) AS value FROM bids x, bids y WHERE x.broker = y.broker GROUP BY 1")
+@_query(_BOOK + """
+    SELECT x.broker, round(sum(x.volume * x.price * y.volume * y.price * 0.5), 0) AS value FROM bids x, bids y
+    WHERE x.broker = y.broker GROUP BY 1
+    """)
 def finance_broker_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     bids, _ = _book(spark, sf_dir)
     return bids.groupBy("broker").agg(F.sum(c("volume") * c("price")).alias("s")).select("broker", F.round(c("s") * c("s") * 0.5, 0).alias("value"))
@@ -376,14 +431,20 @@ def _top(side: DataFrame) -> DataFrame:
     return side.join(_volume_above(side), "price").join(total).where("part > above")
 
 
-@_query(_BOOK + f"SELECT round(coalesce(sum(a.price - b.price), 0), 2) AS value FROM bids b, asks a WHERE {_TOP.format('bids', 'b')} AND {_TOP.format('asks', 'a')}")
+@_query(_BOOK + f"""
+    SELECT round(coalesce(sum(a.price - b.price), 0), 2) AS value FROM bids b, asks a
+    WHERE {_TOP.format('bids', 'b')} AND {_TOP.format('asks', 'a')}
+    """)
 def finance_price_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     bids, asks = (_top(x).agg(F.count("*").alias("n"), F.coalesce(F.sum("price"), F.lit(0.0)).alias("p")) for x in _book(spark, sf_dir))
     both = bids.select(c("n").alias("nb"), c("p").alias("pb")).join(F.broadcast(asks.select(c("n").alias("na"), c("p").alias("pa"))))
     return both.select(F.round(c("pa") * c("nb") - c("pb") * c("na"), 2).alias("value"))
 
 
-@_query(_BOOK + f"SELECT b.broker, round(sum(a.price * a.volume - b.price * b.volume), 2) AS value FROM bids b, asks a WHERE {_TOP.format('bids', 'b')} AND {_TOP.format('asks', 'a')} AND b.broker = a.broker GROUP BY 1")
+@_query(_BOOK + f"""
+    SELECT b.broker, round(sum(a.price * a.volume - b.price * b.volume), 2) AS value FROM bids b, asks a
+    WHERE {_TOP.format('bids', 'b')} AND {_TOP.format('asks', 'a')} AND b.broker = a.broker GROUP BY 1
+    """)
 def finance_missed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = lambda df, x: _top(df).groupBy("broker").agg(F.count("*").alias(f"n{x}"), F.sum(c("price") * c("volume")).alias(f"w{x}"))
     bids, asks = _book(spark, sf_dir)
@@ -393,7 +454,10 @@ def finance_missed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources
 
 
-@_query("SELECT event, mux, count(*) AS n FROM (SELECT 1 AS event, 'orders' AS mux FROM orders UNION ALL SELECT 1, 'nation' FROM nation) GROUP BY 1, 2")
+@_query("""
+    SELECT event, mux, count(*) AS n FROM (SELECT 1 AS event, 'orders' AS mux FROM orders UNION ALL SELECT 1, 'nation'
+    FROM nation) GROUP BY 1, 2
+    """)
 def source_multiplexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, nations = load(spark, sf_dir, "orders", "nation")
     wide = A.multiplex({"orders": orders, "nation": nations}, {"orders": "o_orderkey", "nation": "n_nationkey"}, seed=3)

@@ -77,7 +77,7 @@ class ViewLog:
 
     def compact(self, vid: int) -> None:
         """One sum for all versions up to ``vid``; snapshots from ``vid`` on stay the same."""
-        if (self.compacted() or vid - 1) < vid:
+        if (done := self.compacted()) is None or done < vid:
             self.as_of(vid).write.mode("overwrite").parquet(f"{self.path}/upto={vid}")
         fs, found = self._folders()
         upto = self.compacted()

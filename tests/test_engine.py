@@ -123,6 +123,11 @@ def test_compaction_survives_a_crash(spark, tmp_path) -> None:
     for vid, row in ((0, ("a", 1.0)), (1, ("a", 2.0)), (2, ("b", 4.0))):
         log.write(vid, part(row))
     now = rows(log.as_of())
+    zero = W.ViewLog(spark, f"{tmp_path}/zero", ("k",))
+    zero.write(0, part(("a", 1.0)))
+    for _ in range(2):
+        zero.compact(0)
+        assert rows(zero.as_of()) == [("a", 1.0, 1)] and zero.compacted() == 0
     (tmp_path / "log/upto=1").mkdir()  # a sum that was not written to its end counts for nothing
     assert log.compacted() is None and rows(log.as_of()) == now
     shutil.copytree(tmp_path / "log/vid=0", tmp_path / "kept")
