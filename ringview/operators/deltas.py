@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .gmr import Gmr, V
+from .gmr import Gmr, Stored, V
 
 Relations = dict[str, Gmr]
 
@@ -32,9 +32,13 @@ class Expr(ABC):
     @abstractmethod
     def relations(self) -> set[str]: ...
 
-    def after(self, env: Relations, changes: Relations) -> Gmr:
-        d = self.change(env, changes)
-        return self.rows(env) if d is None else self.rows(env) + d
+    def rows_at(self, env: Relations, at: Gmr) -> Gmr:
+        """At least the rows that agree with some row of ``at`` on the variables they share."""
+        return self.rows(env)
+
+    def after(self, env: Relations, changes: Relations, at: Gmr | None = None) -> Gmr:
+        d, old = self.change(env, changes), self.rows(env) if at is None else self.rows_at(env, at)
+        return old if d is None else old + d
 
     def __mul__(self, other: Expr) -> Expr:
         return Product(self, other)
@@ -62,6 +66,13 @@ class Rel(Expr):
     def rows(self, env: Relations) -> Gmr:
         return self._of(env[self.name])
 
+    def rows_at(self, env: Relations, at: Gmr) -> Gmr:
+        stored, shared = env[self.name], {v: c for c, v in self.columns if v in at.vars}
+        if not shared or not isinstance(stored, Stored):
+            return self.rows(env)
+        keys = at.df.select(*[F.col(v).alias(c) for v, c in shared.items()]).distinct()
+        return self._of(stored.at(list(shared.values()), keys))
+
     def change(self, env: Relations, changes: Relations) -> Gmr | None:
         return self._of(changes[self.name]) if self.name in changes else None
 
@@ -86,6 +97,9 @@ class _Linear(Expr):
     def rows(self, env: Relations) -> Gmr:
         return self._apply(self.inner.rows(env))
 
+    def rows_at(self, env: Relations, at: Gmr) -> Gmr:
+        return self._apply(self.inner.rows_at(env, at))
+
     def change(self, env: Relations, changes: Relations) -> Gmr | None:
         d = self.inner.change(env, changes)
         return None if d is None else self._apply(d)
@@ -132,6 +146,11 @@ class Sum(_Linear):
     def _apply(self, g: Gmr) -> Gmr:
         return g.sum(self.by)
 
+    def rows_at(self, env: Relations, at: Gmr) -> Gmr:
+        """Groups are whole: only the variables that are summed by pick rows."""
+        kept = [v for v in at.vars if v in self.by]
+        return self._apply(self.inner.rows_at(env, Gmr(at.df.select(*kept, V), tuple(kept)))) if kept else self.rows(env)
+
 
 @dataclass(frozen=True)
 class Union(Expr):
@@ -141,6 +160,9 @@ class Union(Expr):
     def rows(self, env: Relations) -> Gmr:
         return self.left.rows(env) + self.right.rows(env)
 
+    def rows_at(self, env: Relations, at: Gmr) -> Gmr:
+        return self.left.rows_at(env, at) + self.right.rows_at(env, at)
+
     def change(self, env: Relations, changes: Relations) -> Gmr | None:
         a, b = self.left.change(env, changes), self.right.change(env, changes)
         return b if a is None else a if b is None else a + b
@@ -157,10 +179,14 @@ class Product(Expr):
     def rows(self, env: Relations) -> Gmr:
         return self.left.rows(env) * self.right.rows(env)
 
+    def rows_at(self, env: Relations, at: Gmr) -> Gmr:
+        return self.left.rows_at(env, at) * self.right.rows_at(env, at)
+
     def change(self, env: Relations, changes: Relations) -> Gmr | None:
+        """Of the other side only the rows at the change's keys are looked at."""
         a, b = self.left.change(env, changes), self.right.change(env, changes)
-        first = None if a is None else a * self.right.rows(env)
-        second = None if b is None else self.left.after(env, changes) * b
+        first = None if a is None else a * self.right.rows_at(env, a)
+        second = None if b is None else self.left.after(env, changes, b) * b
         return second if first is None else first if second is None else first + second
 
     def relations(self) -> set[str]:
@@ -187,7 +213,7 @@ class _Keyed(Expr):
         d = self.inner.change(env, changes)
         if d is None:
             return None
-        old = self.inner.rows(env)
+        old = self.inner.rows_at(env, d)
         old = old.slice(d) if old.vars else old
         return self._apply(self._summed(old + d)) - self._apply(self._summed(old))
 

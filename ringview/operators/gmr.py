@@ -120,6 +120,17 @@ class Gmr:
         return self.df.select(*self.vars, F.col(V).alias(value))
 
 
+@dataclass(frozen=True)
+class Stored(Gmr):
+    """A relation kept as a log of increments ``(vars..., __v)``: rows at a few keys are picked before anything is summed."""
+
+    log: DataFrame | None = None
+
+    def at(self, columns: Sequence[str], keys: DataFrame) -> Gmr:
+        picked = self.log.join(keys, list(columns), "left_semi")
+        return Gmr(picked.groupBy(*self.vars).agg(F.sum(V).alias(V)).where(F.col(V) != 0), self.vars)
+
+
 def product(*parts: Gmr) -> Gmr:
     out = parts[0]
     for p in parts[1:]:

@@ -7,7 +7,7 @@ correction, whatever order they come in. ``__n`` counts rows, so a group whose s
 
 Compaction writes the sum up to a version as ``upto=<vid>`` and only then deletes what it holds. A reader takes the
 newest one that was written to its end (it has Spark's ``_SUCCESS``) and the increments after it, so a crash at any point loses and doubles
-nothing. Batches read a relation's present rows and what came since, not its history.
+nothing. Batches read a relation's present rows and what came since, not its history, and sum only the rows at the keys that they join.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.deltas import Expr, Relations
-from ..operators.gmr import Gmr, V
+from ..operators.gmr import Gmr, Stored, V
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,11 @@ class Base:
 
     def relations(self, before: int) -> Relations:
         """The relations as they stood before a version."""
-        return {k: Gmr(log.as_of(before, strict=True).select(*log.keys, V), log.keys) for k, log in self.logs.items()}
+        out = {}
+        for k, log in self.logs.items():
+            increments = log.increments().where(F.col("vid") < before).select(*log.keys, V)
+            out[k] = Stored(log.as_of(before, strict=True).select(*log.keys, V), log.keys, increments)
+        return out
 
     def write(self, changes: Relations, vid: int) -> None:
         for k, g in changes.items():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ringview.functions import scalars as S
 from ringview.operators import collections as K
 from ringview.operators import deltas as D
-from ringview.operators.gmr import Gmr, V, constant
+from ringview.operators.gmr import Gmr, Stored, V, constant
 from ringview.operators.ordered import running_sums, sums_before
 from ringview.sources import adaptors as A
 from ringview.streaming import views as W
@@ -81,6 +81,8 @@ def test_change_equals_recomputation(spark, name) -> None:
     maintained = e.after(env, changes).sum(by).pruned()
     fresh = e.rows({k: env[k] + changes[k] for k in env}).sum(by).pruned()
     assert rows(maintained.df) == rows(fresh.df)
+    stored = {k: Stored(g.sum(g.vars).pruned().df, g.vars, g.df) for k, g in env.items()}
+    assert rows(e.after(stored, changes).sum(by).pruned().df) == rows(fresh.df)
 
 
 def test_views_from_a_stream(spark, tmp_path) -> None:
