@@ -15,7 +15,7 @@ element named after content that holds links only is outvoted by its blocks, and
 anything, neighbours decide together. Nodes whose own capacity outweighs all their edges are settled first and nodes with
 one edge left are folded into its other end (any minimum cut agrees); a maximum flow over what is left decides the rest.
 
-The classifier's weights are fitted on at most ``sample_pages`` pages, those of the smallest hashes of their ids, whose blocks inside
+The classifier's weights for length, links and sentence ends (not those for tags, which would repeat what labels the sample) are fitted on at most ``sample_pages`` pages, those of the smallest hashes of their ids, whose blocks inside
 ``article`` or ``main`` and inside ``nav``, ``footer`` and the like are labelled by these; a Gaussian prior holds the weights
 to ``WEIGHTS``, so a few pages change little and pages without such elements nothing.
 
@@ -84,8 +84,9 @@ ADJACENT, APART, SIBLING, HELD, NESTED = 0.5, 0.15, 0.4, 5.0, 8.0
 #: What an element says for each block inside: a bad tag or name, an article or main, a name of content. ``NESTED`` outweighs what good
 #: elements and blocks inside a bad one say (1.5 + 3 + ``MOST``), and so does a bad one.
 EVIDENCE = {"bad": -8.0, "article": 3.0, "name": 1.5}
-#: The classifier's log-odds of "content" before any page is seen, and their bound.
+#: The classifier's log-odds of "content" before any page is seen, those that are fitted (what the text and its links look like), and their bound.
 WEIGHTS = {"base": -1.2, "length": 0.6, "links": -3.5, "sentence": 0.8, "paragraph": 1.2, "heading": 1.2, "item": 0.0, "elsewhere": -1.0}
+FITTED = ("base", "length", "links", "sentence")
 MOST = 2.5
 _DEEPEST = 512
 
@@ -517,15 +518,19 @@ def fit(pages: DataFrame, sample_pages: int = 2_000, prior: float = 30.0, rounds
     sample = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
     chosen = pages.join(F.broadcast(sample), "page_id", "left_semi").select(F.col("html").cast("string").alias("html"))
     data = chosen.mapInArrow(rows, ", ".join(f"{c} double" for c in ["y", "n", *names])).groupBy("y", *names).agg(F.sum("n").alias("n")).orderBy("y", *names).toPandas()
-    start = np.array(list(WEIGHTS.values()))
-    w, x, y, n = start.copy(), data[names].to_numpy(float), data["y"].to_numpy(float), data["n"].to_numpy(float)
+    every = np.array(list(WEIGHTS.values()))
+    own = np.array([k in FITTED for k in WEIGHTS])
+    x, y, n = data[names].to_numpy(float), data["y"].to_numpy(float), data["n"].to_numpy(float)
+    fixed, x, start = x[:, ~own] @ every[~own], x[:, own], every[own]
+    w = start.copy()
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + fixed, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + prior * np.eye(len(w)), x.T @ (n * (p - y)) + prior * (w - start))
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return [round(v, 6) for v in w.tolist()]
+    every[own] = np.round(w, 6)
+    return every.tolist()
 
 
 def extract_pages(pages: DataFrame, weights: list[float] | None = None) -> DataFrame:
