@@ -50,7 +50,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` wrote and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:

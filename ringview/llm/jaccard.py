@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, slices
+from .common import cut, drop, prepare, slices
 from .words import of_column
 
 #: Signature bits for sets of up to half as many shingles; larger sets double them.
@@ -220,6 +220,7 @@ def _measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, p
     known = passed.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(exact, "a long, b long, d double, linked boolean")
     # An id with several texts has several distances: the least and the greatest bound them all.
     known = cut(known.groupBy("a", "b").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.max("linked").alias("linked")), "measured-pairs")
+    drop(sets)
     return known.unionByName(tested.where("NOT open").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked")))
 
 
@@ -237,8 +238,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        found = least(cut(large, "stars"))
+        large = cut(large, "stars")
+        found, old = least(large), edges
         edges = cut(found.select("u", F.col("m").alias("v")).union(found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        drop(large, old)
         now = mark(edges)
         if now == before:
             break
@@ -271,9 +274,11 @@ def join(
     # The pivot of a tile is the class with the most common shingles: the copy that others differ from least.
     opened = entries.groupBy("tile").agg(F.count("*").alias("members"), F.min(F.struct("rank", "id")).alias("pivot")).where("members > 1")
     shared = cut(entries.join(opened.select("tile", F.col("pivot.id").alias("pivot")), "tile").select("tile", "id", "pos", "pivot"), "shared")
+    drop(entries)
     # A shingle of both bands counts once.
     onward = F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("pos"))).cast("long")
     tiles = cut(shared.select("tile", "id", onward.alias("onward"), "pivot"), "tiles")
+    drop(shared)
     sizes = cut(classes.select("id", "n", "signature").join(tiles.groupBy("id").agg(F.max("onward").alias("tiles")), "id"), "sizes")
     stars = cut(tiles.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     measured = cut(_measured(stars, sizes, docs, width, percent, broadcast_ids), "star-distances")
@@ -307,6 +312,7 @@ def join(
     across = a.join(b, (F.col("a.tile") == F.col("b.tile")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.id") < F.col("b.id")) & able & near)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    drop(placed, mixed)
     links = links.union(_measured(rest, sizes, docs, width, percent, broadcast_ids).where("linked").select("a", "b"))
     return rows, classes, links
 
